@@ -56,10 +56,9 @@ def _schema(args: argparse.Namespace) -> tuple[object, Exit]:
         return json.loads(schema.to_spark().json()), Exit.SUCCESS
     if args.to == "ddl":
         return ", ".join(f"`{f.name}` {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}" for f in schema.to_spark().fields), Exit.SUCCESS
-    import pyarrow as pa  # noqa: F401
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    return str(to_arrow_schema(schema.to_spark(), timezone="UTC")), Exit.SUCCESS
+    return str(to_arrow_schema(schema.to_spark())), Exit.SUCCESS
 
 
 def _engines(args: argparse.Namespace) -> tuple[object, Exit]:
