@@ -205,7 +205,7 @@ def division_by_zero(d):  # noqa: ANN001, ANN201
     return d.run(d.select(x, ["p_partkey", "a", "b"]))
 
 
-@query("SELECT p_partkey, 5 AS five, TRUE AS yes, 'x' AS x, CAST(1.50 AS DECIMAL(3,2)) AS dec FROM part")
+@query("SELECT p_partkey, CAST(5 AS BIGINT) AS five, TRUE AS yes, 'x' AS x, CAST(1.50 AS DECIMAL(3,2)) AS dec FROM part")
 def literals(d):  # noqa: ANN001, ANN201
     from decimal import Decimal
 
