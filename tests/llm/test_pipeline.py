@@ -57,3 +57,23 @@ def test_sql_of_operators(spark):
         df, want = QUERIES[name](spark, SF), con.sql(sql)
         assert tidy(df.columns, df.collect()) == tidy(want.columns, want.fetchall()), name
     assert [k.split("_")[0] for k in QUERIES] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_stages_on_hard_rows(spark, hard_docs):
+    import corpus_pipeline as p
+
+    docs = hard_docs.selectExpr("doc_id", "text", "'en' lang", "component_id source", "cast(length(text) as long) n_chars", "score", "'x' rate", "'y' removed", "'z' kept", "cast(1 as int) copies", "'q' n_words", "'w' _w")
+    total = docs.count()
+    out = dict(p.STAGES)
+    kept = out["quality rules"](spark, docs, SF)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} <= {4, 5, 10, 11}
+    near = out["SimHash near-dedup"](spark, docs, SF)
+    assert near.columns == docs.columns and {r.doc_id for r in near.collect()} >= {1, 2, 4, 8, 9, 10, None}
+    lines = out["substring dedup"](spark, docs, SF)
+    got = lines.collect()
+    assert lines.columns == docs.columns and len(got) == total - 1 and all(r.n_chars == len(r.text) for r in got if r.text is not None)
+    mixed = out["mixing"](spark, docs, SF)
+    assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in docs.collect()}
+    assert out["best-fit packing"](spark, docs, SF).where("piece = 0").count() == total
+    for name, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
