@@ -1,10 +1,10 @@
 """Quality rules with DataFrame functions only: fixed rules on a text, then a hashed n-gram log-likelihood ratio.
 
 Words and word pairs of a text are hashed to ``buckets``. Two multinomials over them, one of trusted documents (a
-bounded sample of labelled ones) and one of the whole corpus, give each bucket a weight, the logarithm of the ratio of
-its smoothed shares, in millionths. A document's score is the mean weight of its n-grams, so length does not count.
-The threshold lies between the labelled sample's good and bad documents, ``margin`` of the way from the good ones'
-mean to the bad ones'; every document is held against it. All sums are of integers, so results do not depend on order.
+bounded sample of labelled ones, smoothed towards the corpus by ``buckets`` n-grams of it) and one of the whole corpus,
+give each bucket a weight, the logarithm of the ratio of its shares, in millionths. A document's score is the mean weight of its n-grams, so length does not count.
+The threshold lies between the labelled sample's good and bad documents, ``margin`` of the way from the mean of good ones that
+the weights did not see (every second one) to that of the bad ones; every document is held against it. All sums are of integers, so results do not depend on order.
 """
 
 from __future__ import annotations
@@ -102,27 +102,32 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, limit: int =
     Without trusted documents every weight and the threshold are zero (all pass); without bad ones the threshold lies
     below any score (all pass). Labels of absent documents and null labels count for nothing.
     """
-    sample = F.broadcast(labelled_sample(labels, limit).groupBy("doc_id").agg(F.bool_and("good").alias("good")))  # 2 x limit rows at most
+    sample = labelled_sample(labels, limit).groupBy("doc_id").agg(F.bool_and("good").alias("good"))
+    part = F.when(~F.col("good"), F.lit("bad")).when(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, F.lit("trusted")).otherwise(F.lit("good"))
+    sample = F.broadcast(sample.select("doc_id", part.alias("part")))  # 2 x limit rows at most
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("_w")).join(sample, "doc_id", "left")
-    counts = marked.select(F.explode(grams(F.col("_w"), buckets)).alias("bucket"), F.coalesce("good", F.lit(False)).alias("good"), (F.col("good").isNotNull() & ~F.col("good")).alias("bad"))
-    rows = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("good").alias("good"), F.count_if("bad").alias("bad"))
-    t, r = F.sum("good").over(everything()), F.sum("raw").over(everything())
-    ratio = F.log((F.col("good") + 1) / (t + buckets)) - F.log((F.col("raw") + 1) / (r + buckets))
-    got = rows.select("bucket", "good", "bad", t.alias("t"), r.alias("r"), F.round(ratio * MILLION).cast("int").alias("weight")).collect()
+    counts = marked.select(F.explode(grams(F.col("_w"), buckets)).alias("bucket"), "part")
+    rows = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), *(F.count_if(F.col("part") == p).alias(p) for p in ("trusted", "good", "bad")))
+    t, r = F.sum("trusted").over(everything()), F.sum("raw").over(everything())
+    share = (F.col("raw") + 1) / (r + buckets)
+    ratio = F.log((F.col("trusted") + buckets * share) / (t + buckets)) - F.log(share)
+    got = rows.select("bucket", "trusted", "good", "bad", t.alias("t"), F.round(ratio * MILLION).cast("int").alias("weight")).collect()
     if not got or not got[0]["t"]:
         return Model((0,) * buckets, 0)
     from math import log
 
-    absent = round((log(1 / (got[0]["t"] + buckets)) - log(1 / (got[0]["r"] + buckets))) * MILLION)
-    weights = [absent] * buckets
+    weights = [round(log(buckets / (got[0]["t"] + buckets)) * MILLION)] * buckets  # of a bucket that no document has
     for x in got:
         weights[x["bucket"]] = x["weight"]
-    n_bad = sum(x["bad"] for x in got)
-    if not n_bad:
+
+    def mean(part: str) -> int | None:
+        n = sum(x[part] for x in got)
+        return sum(x[part] * x["weight"] for x in got) // n if n else None
+
+    good, bad = mean("good") if mean("good") is not None else mean("trusted"), mean("bad")
+    if bad is None or bad >= good:
         return Model(tuple(weights), -(1 << 31))
-    good = sum(x["good"] * x["weight"] for x in got) // got[0]["t"]
-    bad = sum(x["bad"] * x["weight"] for x in got) // n_bad
-    return Model(tuple(weights), good - int((good - bad) * margin) if bad < good else -(1 << 31))
+    return Model(tuple(weights), good - int((good - bad) * margin))
 
 
 def everything():  # noqa: ANN201
