@@ -51,6 +51,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> str:
+    """Write ``df`` to the shared folder for :func:`read_table`, and return its URI."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return path
+
+
+def read_table(uri: str) -> pa.Table:
+    """A table of bounded size from the shared folder, read by a worker itself."""
+    from pyarrow import dataset, fs
+
+    system, path = fs.FileSystem.from_uri(uri)
+    return dataset.dataset(path, format="parquet", filesystem=system).to_table()
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialise` that nothing needs any more."""
     spark = df.sparkSession

@@ -14,21 +14,23 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from math import log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, read_table, written
 
 #: The end of a text, coded as a byte that no word holds; it also stands before the first byte.
 END = b"\n"
 #: Bytes of text that are coded at a time.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 #: Distinct strings or words that a task holds before it passes on its counts.
-HOLD = 1 << 20
+HOLD = 1 << 19
 
 
 def in_training(doc_id: int | None) -> bool:
@@ -45,11 +47,10 @@ def coded(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray]
     before it, the byte itself lowest; and the number of its text."""
     pad = END * depth
     lines = [b" ".join(w) + END for w in texts]
-    raw = np.frombuffer(pad + pad.join(lines), dtype=np.uint8)
+    raw = END * 7 + pad.join(lines)
+    # eight bytes at each place, read as one big-endian number
+    out = np.ndarray(len(raw) - 7, dtype=">u8", buffer=raw, strides=(1,)).astype(np.uint64) & np.uint64((1 << (8 * depth + 8)) - 1)
     sizes = np.array([len(x) for x in lines])
-    out = np.zeros(len(raw) - depth, dtype=np.uint64)
-    for j in range(depth + 1):
-        out |= raw[depth - j : len(raw) - j].astype(np.uint64) << np.uint64(8 * j)
     starts = np.concatenate([[0], np.cumsum(sizes + depth)[:-1]])
     own = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
     return out[own], np.repeat(np.arange(len(lines)), sizes)
@@ -169,22 +170,18 @@ class Model:
         self.p, self.stop = np.full(slots, 0.5, dtype=np.float32), np.zeros(slots, dtype=np.float32)
 
     @classmethod
-    def build(cls, levels: list[DataFrame], slots: int) -> Model:
-        """At most 256 + 65,536 + ``slots`` rows reach the driver."""
-        model = cls(len(levels) - 1, slots)
-        p = ((F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)).cast("float").alias("p")
-        for d in range(min(2, len(levels))):
-            got = levels[d].select("key", p, F.col("stop").cast("float").alias("stop")).toPandas()
-            model.dense_p[d][got["key"]], model.dense_stop[d][got["key"]] = got["p"], got["stop"]
-        deep = None
-        for d, level in enumerate(levels[2:], 2):
-            rows = level.select(F.col("key").bitwiseOR(F.lit(d << 56).cast("long")).alias("key"), (F.col("a") + F.col("b")).alias("n"), p, F.col("stop").cast("float").alias("stop"))
-            deep = rows if deep is None else deep.union(rows)
-        if deep is not None:
-            best = F.max(F.struct("n", "key", "p", "stop")).alias("x")
-            got = deep.groupBy(F.xxhash64("key").bitwiseAND(F.lit(slots - 1).cast("long")).cast("int").alias("slot")).agg(best).select("slot", "x.key", "x.p", "x.stop").toPandas()
-            at = got["slot"].to_numpy()
-            model.keys[at], model.p[at], model.stop[at] = got["key"].to_numpy().view(np.uint64), got["p"], got["stop"]
+    def load(cls, shallow: str, deep: str, depth: int, slots: int) -> Model:
+        """From the two tables that :func:`publish` wrote."""
+        model = cls(depth, slots)
+        got = read_table(shallow)
+        for d in range(min(2, depth + 1)):
+            part = got.filter(pa.compute.equal(got.column("d"), d))
+            at = part.column("key").to_numpy()
+            model.dense_p[d][at], model.dense_stop[d][at] = part.column("p").to_numpy(), part.column("stop").to_numpy()
+        if depth >= 2:
+            got = read_table(deep)
+            at = got.column("slot").to_numpy()
+            model.keys[at], model.p[at], model.stop[at] = got.column("key").to_numpy().view(np.uint64), got.column("p").to_numpy(), got.column("stop").to_numpy()
         return model
 
     def _node(self, d: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -196,6 +193,10 @@ class Model:
         return self.p[at], np.where(self.keys[at] == key, self.stop[at], np.float32(-1))
 
     def log10(self, strings: np.ndarray) -> np.ndarray:
+        new, back = np.unique(strings, return_inverse=True)
+        return self.compute(new)[back]
+
+    def compute(self, strings: np.ndarray) -> np.ndarray:
         out = np.zeros(len(strings))
         byte, context = strings & np.uint64(255), strings >> np.uint64(8)
         for k in range(8):
@@ -220,6 +221,32 @@ class Model:
         return out
 
 
+def publish(levels: list[DataFrame], slots: int) -> tuple[str, str]:
+    """Write the model to the shared folder, where each worker reads it: 65,792 nodes at most, and ``slots`` more."""
+    p = ((F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)).cast("float").alias("p")
+    stop = F.col("stop").cast("float").alias("stop")
+    shallow = reduce(DataFrame.union, (x.select(F.lit(d).alias("d"), "key", p, stop) for d, x in enumerate(levels[:2])))
+    rows = [x.select(F.col("key").bitwiseOR(F.lit(d << 56).cast("long")).alias("key"), (F.col("a") + F.col("b")).alias("n"), p, stop) for d, x in enumerate(levels[2:], 2)]
+    deep = ""
+    if rows:
+        best = F.max(F.struct("n", "key", "p", "stop")).alias("x")
+        at = F.xxhash64("key").bitwiseAND(F.lit(slots - 1).cast("long")).cast("int").alias("slot")
+        deep = written(reduce(DataFrame.union, rows).groupBy(at).agg(best).select("slot", "x.key", "x.p", "x.stop"), "deep")
+    return written(shallow, "shallow"), deep
+
+
+_loaded: dict[str, tuple[dict[bytes, int], Model]] = {}
+
+
+def loaded(words: str, shallow: str, deep: str, depth: int, slots: int) -> tuple[dict[bytes, int], Model]:
+    """Frequent words and model, once for each worker process; an older model goes."""
+    if words not in _loaded:
+        _loaded.clear()
+        got = read_table(words)
+        _loaded[words] = dict(zip(got.column("word").to_pylist(), got.column("c").to_pylist())), Model.load(shallow, deep, depth, slots)
+    return _loaded[words]
+
+
 def score(docs: DataFrame, depth: int = 5, slots: int = 1 << 21, frequent: int = 200_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte): a row for each row.
 
@@ -227,7 +254,8 @@ def score(docs: DataFrame, depth: int = 5, slots: int = 1 << 21, frequent: int =
     by one. With no training document all counts are zero and every bit has probability one half. Extra columns are ignored. ``frequent`` words at most
     are looked up in memory; all others meet their counts in a join.
     """
-    spark = docs.sparkSession
+    if not 0 <= depth <= 6:
+        raise ValueError("contexts have six bytes at most")
     rows = docs.select(F.monotonically_increasing_id().alias("r"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     vocabulary = materialise(word_counts(rows), "words")
     power = F.floor(F.log2("c") * 8).cast("int")
@@ -238,25 +266,24 @@ def score(docs: DataFrame, depth: int = 5, slots: int = 1 << 21, frequent: int =
         if held + x["v"] > frequent:
             break
         held, least = held + x["v"], x["p"]
-    common = spark.sparkContext.broadcast({bytes(x["word"]): x["c"] for x in vocabulary.where(power >= least).collect()})
-    model = spark.sparkContext.broadcast(Model.build(tree(string_counts(rows, depth), depth), slots))
+    words = written(vocabulary.where(power >= least), "frequent")
+    shallow, deep = publish(tree(string_counts(rows, depth), depth), slots)
     norm = np.log10(float(n_train + distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, tables = common.value, model.value
+        counts, tables = loaded(words, shallow, deep, depth, slots)
         fields = [("r", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("word", pa.binary()), ("tf", pa.int64())]
         ends = counts.get(END, 0)
         for chunk in _chunks(batches):
             texts = [text_words(t) for _, _, t in chunk]
             strings, owner = coded(texts, tables.depth)
-            distinct_strings, at = np.unique(strings, return_inverse=True)
-            scores = np.bincount(owner, weights=tables.log10(distinct_strings)[at], minlength=len(chunk))
+            scores = np.bincount(owner, weights=tables.log10(strings), minlength=len(chunk))
             sizes = np.bincount(owner, minlength=len(chunk))
             out, rare = [], []
-            for (r, doc_id, _), words, s, b in zip(chunk, texts, scores.tolist(), sizes.tolist()):
+            for (r, doc_id, _), said, s, b in zip(chunk, texts, scores.tolist(), sizes.tolist()):
                 known, base = int(ends > 0), np.log10(ends + 1) - norm
                 hits = []
-                for w, n in Counter(words).items():
+                for w, n in Counter(said).items():
                     c = counts.get(w)
                     if c is None:
                         rare.append((r, None, 0, 0, 0.0, 0.0, 0, w, n))
@@ -267,7 +294,7 @@ def score(docs: DataFrame, depth: int = 5, slots: int = 1 << 21, frequent: int =
                     c, n = np.array(hits, dtype=float).T
                     base += float((np.log10(c + 1) * n).sum() - norm * n.sum())
                 # a key of its own, which is no word, deals the row out and meets nothing
-                out.append((r, doc_id, len(words) + 1, known, float(base), s, b, END + r.to_bytes(8, "little"), 0))
+                out.append((r, doc_id, len(said) + 1, known, float(base), s, b, END + r.to_bytes(8, "little"), 0))
             for part in (out, rare):
                 if part:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*part), fields)], schema=pa.schema(fields))
