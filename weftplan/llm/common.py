@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -30,6 +29,9 @@ def ship(spark: SparkSession) -> None:
     from pathlib import Path
 
     sc, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":  # the default, tens of MB of text to a batch; texts are worth smaller ones
+        spark.conf.set(rows, "1000")
     if getattr(sc, "_weftplan_shipped", False) or root.parent.suffix == ".zip":
         return
     path = os.path.realpath(os.path.join(tempfile.mkdtemp(), f"{root.name}.zip"))
@@ -118,17 +120,33 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
+class _Numbers(dict):
+    """Numbers its keys as they are first asked for."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key):  # noqa: ANN001, ANN204
+        i = self[key] = len(self)
+        self.new.append(key)
+        return i
+
+
 class CachingEncoder:
     """The ``tokenizers`` library behind a cache of space- or newline-led pieces.
 
-    A byte-level BPE with the usual split pattern never joins a non-space character with a following space or
-    newline, so a text without white space before a space or newline can be cut there and each piece encoded by
-    itself. Any other text goes to the library whole. Results equal ``encode(text, add_special_tokens=False)``.
+    A byte-level BPE with the usual split pattern never joins a non-space character with a following space or newline.
+    So a text whose only white space is single spaces and newlines between other characters can be cut before each of
+    them and its pieces encoded on their own; any other text goes to the library whole. New pieces are encoded many at
+    a time, as one text, and told apart by the tokens that begin with a space or newline. Results equal
+    ``encode(text, add_special_tokens=False)``.
     """
 
     #: Pieces kept at most; beyond that the cache starts anew, which changes no result.
-    LIMIT = 300_000
-    _odd = re.compile(r"\s[ \n]")
+    LIMIT = 600_000
+    #: Pieces that are joined to one text.
+    JOIN = 256
 
     def __init__(self, path: str):
         import os
@@ -137,43 +155,78 @@ class CachingEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.heads: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _fill(self, cache: dict[str, bytes], missing: set[str], lead: str) -> None:
-        names = list(missing)
-        texts = [x if not lead or x[:1] == "\n" else lead + x for x in names]
-        for name, e in zip(names, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            cache[name] = np.asarray(e.ids, dtype="<u4").tobytes()
+        vocabulary = self.tokenizer.get_vocab()
+        self.starts = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.starts[[i for token, i in vocabulary.items() if token[0] in "\u0120\u010a"]] = True  # how the vocabulary writes a space and a newline
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers, self.used = _Numbers(), 0
+        self.flat = np.empty(1 << 16, dtype="<u4")  # the ids of all pieces, one after another
+        self.begin = np.zeros((1 << 14) + 1, dtype=np.int64)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _store(self, ids: np.ndarray, ends: np.ndarray) -> None:
+        """Append the ids of the next pieces, which end at ``ends`` of them."""
+        size = self.begin[self.used]
+        if size + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(len(self.flat) + len(ids), dtype="<u4")])
+        if self.used + len(ends) >= len(self.begin):
+            self.begin = np.concatenate([self.begin, np.zeros(len(self.begin) + len(ends), dtype=np.int64)])
+        self.flat[size : size + len(ids)] = ids
+        self.begin[self.used + 1 : self.used + 1 + len(ends)] = size + ends
+        self.used += len(ends)
+
+    def _learn(self) -> None:
+        """Encode the pieces that are new; a tuple holds a piece with no space before it."""
+        new, self.numbers.new = self.numbers.new, []
+        for at in range(0, len(new), self.JOIN):
+            part = new[at : at + self.JOIN]
+            texts = [x[0] if isinstance(x, tuple) else x if x[0] == "\n" else " " + x for x in part]
+            whole = [isinstance(x, tuple) for x in part]
+            (ids,) = self._ids(["".join(t for t, w in zip(texts, whole) if not w)])
+            cuts = np.flatnonzero(self.starts[ids])
+            if len(cuts) == len(part) - sum(whole) and (not len(cuts) or cuts[0] == 0):
+                if not any(whole):
+                    self._store(ids, np.append(cuts[1:], len(ids)))
+                    continue
+                pieces = iter(np.split(ids, cuts[1:]))
+                each = [self._ids([t])[0] if w else next(pieces) for t, w in zip(texts, whole)]
+            else:  # a vocabulary of another kind
+                each = self._ids(texts)
+            self._store(np.concatenate(each), np.cumsum([len(x) for x in each]))
+
+    @staticmethod
+    def _plain(t: str, parts: list[str]) -> bool:
+        """Whether single spaces and newlines, each between other characters, are the only white space."""
+        return len(t.split()) == len(parts) and not (t[0].isspace() or t[-1].isspace() or "  " in t or " \n" in t or "\n " in t or "\n\n" in t)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: none) as little-endian unsigned 32-bit integers."""
-        if len(self.pieces) > self.LIMIT:
-            self.heads, self.pieces = {}, {}
-        cut, need, heads = [], set(), set()
-        for t in texts:
-            if not t:
-                cut.append(None)
-            elif self._odd.search(t):
-                cut.append(t)
-            else:
+        if self.used > self.LIMIT:
+            self.clear()
+        get = self.numbers.__getitem__
+        found: list[int] = []
+        ends, odd = [], {}
+        for i, t in enumerate(texts):
+            if t:
                 parts = t.replace("\n", " \n").split(" ")
-                cut.append(parts)
-                need.update(parts[1:])
-                heads.add(parts[0])
-        heads.discard("")
-        self._fill(self.heads, heads - self.heads.keys(), "")
-        self._fill(self.pieces, need - self.pieces.keys(), " ")
-        get, out = self.pieces.__getitem__, []
-        for t, parts in zip(texts, cut):
-            if parts is None:
-                out.append(b"")
-            elif parts is t:
-                out.append(np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes())
-            else:
-                head = self.heads[parts[0]] if parts[0] else b""
-                out.append(head + b"".join(map(get, parts[1:])))
-        return out
+                if self._plain(t, parts):
+                    parts[0] = (parts[0],)
+                    found.extend(map(get, parts))
+                else:
+                    odd[i] = self._ids([t])[0].tobytes()
+            ends.append(len(found))
+        self._learn()
+        at = np.array(found, dtype=np.int64)
+        first = self.begin[at]
+        sizes = self.begin[at + 1] - first
+        out = np.concatenate([[0], np.cumsum(sizes)])
+        raw = self.flat[np.repeat(first - out[:-1], sizes) + np.arange(out[-1])].tobytes()
+        edges = (out[[0, *ends]] * 4).tolist()
+        return [odd[i] if i in odd else raw[a:b] for i, (a, b) in enumerate(zip(edges, edges[1:]))]
 
 
 _encoders: dict[str, CachingEncoder] = {}
@@ -189,10 +242,13 @@ def encoder(path: str) -> CachingEncoder:
 def encoded(batches: Iterable[pa.RecordBatch], path: str, step: int = 256) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of each batch with the ids of their texts."""
     enc = encoder(path)
-    for batch in batches:
-        for a in range(0, batch.num_rows, step):
-            part = batch.slice(a, step)
-            yield part, enc.encode(part.column("text").to_pylist())
+    try:
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                yield part, enc.encode(part.column("text").to_pylist())
+    finally:
+        enc.clear()  # a worker that waits for its next task holds no cache
 
 
 def default_tokenizer() -> str:
