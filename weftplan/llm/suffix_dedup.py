@@ -134,6 +134,19 @@ def suffix_ranks(raw: np.ndarray, part: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
+#: Leading bytes of a suffix that decide the task it is ranked in, where a trigger has many phrases.
+LEAD = 32
+
+
+def deal(raw: np.ndarray, starts: int, subs: np.ndarray | int) -> np.ndarray:
+    """Task of each of the first ``starts`` suffixes, by their first LEAD bytes."""
+    padded = np.concatenate([raw, np.zeros(LEAD, dtype=np.uint8)]).astype(np.uint64)
+    h = np.zeros(starts, dtype=np.uint64)
+    for i in range(LEAD):
+        h = h * np.uint64(1099511628211) + padded[i : starts + i] + np.uint64(1)
+    return _mix(h) % np.asarray(subs, dtype=np.uint64)
+
+
 def _repeats(groups: list[pa.Table], length: int) -> Iterator[tuple[int, int, int]]:
     """(key, first, last): runs of repeated stretches, of phrases that occur once, among the phrases of some groups."""
     table = pa.concat_tables(groups)
@@ -149,12 +162,7 @@ def _repeats(groups: list[pa.Table], length: int) -> Iterator[tuple[int, int, in
         whole[max(0, end - length + 1) : end] = False
     sub, subs = table.column("sub").to_numpy(), table.column("subs").to_numpy()
     if (subs > 1).any():
-        padded = np.concatenate([raw, np.zeros(32, dtype=np.uint8)]).astype(np.uint64)
-        h = np.zeros(n, dtype=np.uint64)
-        for i in range(32):
-            h = h * np.uint64(1099511628211) + padded[i : n + i] + np.uint64(1)
-        mine = _mix(h) % np.repeat(subs, sizes).astype(np.uint64) == np.repeat(sub, sizes).astype(np.uint64)
-        whole &= mine
+        whole &= deal(raw, n, np.repeat(subs, sizes)) == np.repeat(sub, sizes).astype(np.uint64)
     used = np.flatnonzero(whole)
     _, inverse, counts = np.unique(rank[used], return_inverse=True, return_counts=True)
     hit = np.zeros(n + 1, dtype=np.int8)
@@ -170,6 +178,8 @@ def _repeats(groups: list[pa.Table], length: int) -> Iterator[tuple[int, int, in
 
 def repeated_spans(docs: DataFrame, length: int = 200, k: int = 64, group: int = 256) -> DataFrame:
     """(k, s, e): byte spans that cover every byte of a ``length``-byte string that starts elsewhere too. ``docs`` has the key ``_k``."""
+    if not LEAD <= k <= length < BLOCK:
+        raise ValueError(f"a trigger's {k} bytes must lie within the {length} bytes of a match, {LEAD} at least")
     parsed = parse(docs, length, k)
     often = materialise(parsed.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t"), "triggers")
     found = materialise(parsed.join(often, "t"), "phrases")
@@ -181,18 +191,21 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 64, group: int =
     wanted = materialise(mixed.groupBy("k").agg(F.collect_list("p").alias("ps")), "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("t", pa.int64()), ("m", pa.int64()), ("k", pa.int64()), ("lo", pa.int64()), ("subs", pa.int32()), ("bytes", pa.binary())])
+        schema = pa.schema([("t", pa.int64()), ("m", pa.int64()), ("k", pa.int64()), ("lo", pa.int64()), ("subs", pa.int32()), ("sub", pa.int32()), ("bytes", pa.binary())])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, out = batch.slice(at, 256), []
                 for key, text, ps in zip(*(part.column(c).to_pylist() for c in ("_k", "text", "ps"))):
                     raw = (text or "").encode("utf-8", "surrogatepass")
-                    out += [(p["t"], p["m"], key, p["lo"], p["subs"], raw[p["lo"] : p["hi"] + length]) for p in ps]
+                    for p in ps:
+                        body, subs = raw[p["lo"] : p["hi"] + length], [0]
+                        if p["subs"] > 1:  # only to the tasks that rank a suffix of it
+                            subs = np.unique(deal(np.frombuffer(body, dtype=np.uint8), p["hi"] - p["lo"] + 1, p["subs"])).tolist()
+                        out += [(p["t"], p["m"], key, p["lo"], p["subs"], sub, body) for sub in subs]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    bodies = docs.select("_k", "text").join(wanted.withColumnRenamed("k", "_k"), "_k").mapInArrow(cut, "t long, m long, k long, lo long, subs int, bytes binary")
-    bodies = bodies.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+    bodies = docs.select("_k", "text").join(wanted.withColumnRenamed("k", "_k"), "_k").mapInArrow(cut, "t long, m long, k long, lo long, subs int, sub int, bytes binary")
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(groups: list[pa.Table]) -> pa.RecordBatch:
@@ -209,8 +222,8 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 64, group: int =
         if held:
             yield out(held)
 
-    deal = bodies.withColumn("at", F.xxhash64("t", "sub")).repartition("at").sortWithinPartitions("t", "sub").drop("at")
-    return whole.union(deal.mapInArrow(rank, "k long, s long, e long"))
+    dealt = bodies.withColumn("at", F.xxhash64("t", "sub")).repartition("at").sortWithinPartitions("t", "sub").drop("at")
+    return whole.union(dealt.mapInArrow(rank, "k long, s long, e long"))
 
 
 def remove_repeated(docs: DataFrame, length: int = 200, k: int = 64) -> DataFrame:
