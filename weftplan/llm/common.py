@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -123,8 +124,8 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterato
 class _Numbers(dict):
     """Numbers its keys as they are first asked for."""
 
-    def __init__(self) -> None:
-        super().__init__()
+    def __init__(self, known=()) -> None:  # noqa: ANN001
+        super().__init__(known)
         self.new: list = []
 
     def __missing__(self, key):  # noqa: ANN001, ANN204
@@ -143,7 +144,7 @@ class CachingEncoder:
     ``encode(text, add_special_tokens=False)``.
     """
 
-    #: Pieces kept at most; beyond that the cache starts anew, which changes no result.
+    #: Pieces kept at most; beyond that all but the first go, which changes no result.
     LIMIT = 600_000
     #: Pieces that are joined to one text.
     JOIN = 256
@@ -160,6 +161,15 @@ class CachingEncoder:
         self.starts[[i for token, i in vocabulary.items() if token[0] in "\u0120\u010a"]] = True  # how the vocabulary writes a space and a newline
         self.clear()
 
+    def trim(self, keep: int = 100_000) -> None:
+        """Forget all but the first pieces, which are those that texts share most."""
+        if len(self.numbers) != self.used:  # a task broke off while it learned
+            self.clear()
+        elif self.used > keep:
+            first, self.used = islice(self.numbers.items(), keep), keep
+            self.numbers = _Numbers(first)
+            self.flat, self.begin = self.flat[: self.begin[keep]].copy(), self.begin[: keep + 1].copy()
+
     def clear(self) -> None:
         self.numbers, self.used = _Numbers(), 0
         self.flat = np.empty(1 << 16, dtype="<u4")  # the ids of all pieces, one after another
@@ -206,7 +216,7 @@ class CachingEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: none) as little-endian unsigned 32-bit integers."""
         if self.used > self.LIMIT:
-            self.clear()
+            self.trim()
         get = self.numbers.__getitem__
         found: list[int] = []
         ends, odd = [], {}
@@ -220,7 +230,7 @@ class CachingEncoder:
                     odd[i] = self._ids([t])[0].tobytes()
             ends.append(len(found))
         self._learn()
-        at = np.array(found, dtype=np.int64)
+        at = np.fromiter(found, dtype=np.int64, count=len(found))
         first = self.begin[at]
         sizes = self.begin[at + 1] - first
         out = np.concatenate([[0], np.cumsum(sizes)])
@@ -248,7 +258,7 @@ def encoded(batches: Iterable[pa.RecordBatch], path: str, step: int = 256) -> It
                 part = batch.slice(a, step)
                 yield part, enc.encode(part.column("text").to_pylist())
     finally:
-        enc.clear()  # a worker that waits for its next task holds no cache
+        enc.trim()  # a worker that waits for its next task holds a small cache
 
 
 def default_tokenizer() -> str:
