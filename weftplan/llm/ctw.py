@@ -31,6 +31,8 @@ END = b"\n"
 CHUNK = 1 << 21
 #: Distinct strings or words that a task holds before it passes on its counts.
 HOLD = 1 << 19
+#: Slots of a worker's table of strings that it has scored.
+CACHE_BITS = 21
 
 
 def in_training(doc_id: int | None) -> bool:
@@ -167,6 +169,7 @@ class Model:
         self.dense_p = [np.full(1 << (8 * d + 8), 0.5, dtype=np.float32) for d in (0, 1)]
         self.dense_stop = [np.full(1 << (8 * d + 8), -1, dtype=np.float32) for d in (0, 1)]
         self.keys = np.zeros(slots, dtype=np.uint64)
+        self.cached_keys, self.cached = np.full(1 << CACHE_BITS, (1 << 64) - 1, dtype=np.uint64), np.zeros(1 << CACHE_BITS)
         self.p, self.stop = np.full(slots, 0.5, dtype=np.float32), np.zeros(slots, dtype=np.float32)
 
     @classmethod
@@ -193,8 +196,17 @@ class Model:
         return self.p[at], np.where(self.keys[at] == key, self.stop[at], np.float32(-1))
 
     def log10(self, strings: np.ndarray) -> np.ndarray:
-        new, back = np.unique(strings, return_inverse=True)
-        return self.compute(new)[back]
+        """Of each string; values are kept in a table of fixed size, as most strings come again."""
+        at = (strings * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+        out = self.cached[at].astype(float)
+        miss = np.flatnonzero(self.cached_keys[at] != strings)
+        if len(miss):
+            new, back = np.unique(strings[miss], return_inverse=True)
+            value = self.compute(new)
+            out[miss] = value[back]
+            at = (new * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+            self.cached_keys[at], self.cached[at] = new, value
+        return out
 
     def compute(self, strings: np.ndarray) -> np.ndarray:
         out = np.zeros(len(strings))
