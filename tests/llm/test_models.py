@@ -217,7 +217,18 @@ def test_ctw_probabilities_sum_to_one(spark):
     model = ctw.Model.load(shallow, deep, 3, 1 << 12)
     for context in (0x0A0A0A, int.from_bytes(b"bak", "big"), 0):
         strings = (np.uint64(context) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-        assert abs((10 ** model.log10(strings)).sum() - 1) < 1e-3
+        assert abs((10 ** model.log10(strings)).sum() - 1) < 1e-3 and (model.log10(strings) == model.compute(strings)).all()
+
+
+def test_coded_strings():
+    texts = [[b"ab", b"c"], [], [b"q"]]
+    for depth in (0, 1, 3, 6):
+        strings, owner = ctw.coded(texts, depth)
+        want = []
+        for i, w in enumerate(texts):
+            line = b"\n" * depth + b" ".join(w) + b"\n"
+            want += [(int.from_bytes(line[k - depth : k + 1], "big"), i) for k in range(depth, len(line))]
+        assert list(zip(strings.tolist(), owner.tolist())) == want
 
 
 def test_ctw_hard_rows(spark, hard_docs):

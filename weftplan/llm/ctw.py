@@ -28,11 +28,11 @@ from .common import materialise, read_table, written
 #: The end of a text, coded as a byte that no word holds; it also stands before the first byte.
 END = b"\n"
 #: Bytes of text that are coded at a time.
-CHUNK = 1 << 21
-#: Distinct strings or words that a task holds before it passes on its counts.
-HOLD = 1 << 19
+CHUNK = 1 << 19
+#: Distinct words, and strings, that a task holds before it passes on their counts.
+HOLD_WORDS, HOLD_STRINGS = 1 << 17, 1 << 20
 #: Slots of a worker's table of strings that it has scored.
-CACHE_BITS = 21
+CACHE_BITS = 20
 
 
 def in_training(doc_id: int | None) -> bool:
@@ -85,7 +85,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
                 if in_training(doc_id):
                     seen.update(text_words(text))
                     seen[END] += 1
-            if len(seen) > HOLD:
+            if len(seen) > HOLD_WORDS:
                 yield out()
                 seen = Counter()
         if seen:
@@ -98,22 +98,28 @@ def string_counts(rows: DataFrame, depth: int) -> DataFrame:
     """(g, n): counts of the training documents' strings of depth + 1 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        held, size = [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["g", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["g", "n"])
 
         for chunk in _chunks(batches):
             texts = [text_words(t) for _, d, t in chunk if in_training(d)]
-            if not texts:
-                continue
-            k, n = np.unique(coded(texts, depth)[0], return_counts=True)
-            keys, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
-            counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
-            if len(keys) > HOLD:
-                yield out()
-                keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        if len(keys):
+            if texts:
+                held.append(np.unique(coded(texts, depth)[0], return_counts=True))
+                size += len(held[-1][0])
+            if size > HOLD_STRINGS:
+                held = [merged()]
+                size = len(held[0][0])
+                if size > HOLD_STRINGS // 2:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            held = [merged()]
             yield out()
 
     return rows.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
@@ -259,7 +265,7 @@ def loaded(words: str, shallow: str, deep: str, depth: int, slots: int) -> tuple
     return _loaded[words]
 
 
-def score(docs: DataFrame, depth: int = 5, slots: int = 1 << 21, frequent: int = 200_000) -> DataFrame:
+def score(docs: DataFrame, depth: int = 5, slots: int = 1 << 21, frequent: int = 100_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte): a row for each row.
 
     Null and empty texts are one token, the end. Rows with a null doc_id train; repeated rows train and are scored one
