@@ -36,6 +36,3 @@ def run(spark):
 
     return go
 
-
-def rows(df):
-    return sorted(map(tuple, df.collect()), key=repr)

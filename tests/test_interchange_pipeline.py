@@ -1,6 +1,6 @@
 import pyarrow as pa
 import pytest
-from conftest import rows
+from helpers import rows
 
 from weftplan import Schema, col
 from weftplan import functions as fn

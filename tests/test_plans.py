@@ -1,7 +1,7 @@
 from dataclasses import replace
 
 import pytest
-from conftest import rows
+from helpers import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

@@ -1,5 +1,5 @@
 import pytest
-from conftest import rows
+from helpers import rows
 
 from weftplan import PlanBuilder, Runtime, Schema, col
 from weftplan import quality as q

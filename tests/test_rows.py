@@ -1,7 +1,7 @@
 from decimal import Decimal as D
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.errors import PySparkException
 
 from weftplan import PlanBuilder, Runtime, Schema, col, lit

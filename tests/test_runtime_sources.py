@@ -3,7 +3,7 @@ import json
 import pandas as pd
 import pyarrow as pa
 import pytest
-from conftest import rows
+from helpers import rows
 
 from weftplan import InputBinding, OutputBinding, PlanBuilder, Resource, Runtime, Schema, col
 from weftplan import functions as fn

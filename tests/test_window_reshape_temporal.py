@@ -1,7 +1,7 @@
 from datetime import date, datetime, timedelta
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from weftplan import col, lit
 from weftplan import functions as fn
