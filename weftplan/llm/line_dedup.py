@@ -80,5 +80,6 @@ def remove_repeated(docs: DataFrame, unit: str = "line", min_words: int = 10) ->
             out.append(cut.join(keep))
         return pd.Series(out, dtype=object)
 
-    joined = docs_k.join(gone.withColumnRenamed("k", "_k"), "_k", "left")
+    # spans grow with the corpus, so they are merged, never broadcast
+    joined = docs_k.join(gone.withColumnRenamed("k", "_k").hint("merge"), "_k", "left")
     return joined.withColumn("text", less("text", "removed")).drop("_k")
