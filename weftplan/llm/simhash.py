@@ -9,6 +9,7 @@ exactly. Links leave a tile pair as a spanning forest, so a group of k copies gi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate, product
 
 import numpy as np
@@ -97,23 +98,22 @@ def links(fps: DataFrame, radius: int = 2, tile: int = 4096) -> DataFrame:
         return sum(x * SIDE**k for k, x in enumerate(p)) if all(0 <= x < SIDE for x in p) else None
 
     into: dict[int, int] = {}
-    routes = []
     for c, n in have.items():
         for d in offsets:
             to = shifted(int(c), d)
             if to in have:
                 into[to] = into.get(to, 0) + n
-                routes.append((int(c), to))
     nl = {c: -(-into[c] // (4 * tile)) for c in into}
     nr = {c: -(-have[c] // tile) for c in into}
-    route_t = spark.createDataFrame(pd.DataFrame({"cell": [r[0] for r in routes], "to": [r[1] for r in routes], "nl": [nl[r[1]] for r in routes], "nr": [nr[r[1]] for r in routes]}, dtype="int32"), "cell int, to int, nl int, nr int") if routes else spark.createDataFrame([], "cell int, to int, nl int, nr int")
-    own_t = spark.createDataFrame(pd.DataFrame({"cell": list(into), "nl": [nl[c] for c in into], "nr": [nr[c] for c in into]}, dtype="int32"), "cell int, nl int, nr int") if into else spark.createDataFrame([], "cell int, nl int, nr int")
+    # a row for each cell, 83,521 at most
+    cells = pd.DataFrame({"cell": list(into), "nl": [nl[c] for c in into], "nr": [nr[c] for c in into]}, dtype="int32") if into else []
+    own_t = spark.createDataFrame(cells, "cell int, nl int, nr int")
     deal = F.xxhash64("fp")
-    rows = fps.select("fp", cell.cast("int").alias("cell"))
-    # one row for each cell, with the cells it meets: 83,521 rows at most
-    route_t = route_t.groupBy("cell").agg(F.collect_list(F.struct("to", "nl", "nr")).alias("ways"))
-    left = rows.join(F.broadcast(route_t), "cell").select("fp", F.explode("ways").alias("w")).select(
-        F.col("w.to").alias("cell"), F.pmod(deal, "w.nl").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("w.nr") - 1)).alias("j"), F.lit(0).cast("byte").alias("side"), "fp")
+    rows = fps.select("fp", cell.cast("int").alias("cell"), *(q.cast("int").alias(f"q{k}") for k, q in enumerate(quarter)))
+    inside = [F.struct(*(F.col(f"q{k}") + d[k] for k in range(QUARTERS))) for d in offsets]
+    near = F.filter(F.array(*inside), lambda x: reduce(lambda a, b: a & b, (x[f"col{k + 1}"].between(0, SIDE - 1) for k in range(QUARTERS))))
+    left = rows.select("fp", F.explode(near).alias("x")).select("fp", sum((F.col(f"x.col{k + 1}") * SIDE**k for k in range(QUARTERS)), F.lit(0)).cast("int").alias("cell"))
+    left = left.join(F.broadcast(own_t), "cell").select("cell", F.pmod(deal, "nl").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("j"), F.lit(0).cast("byte").alias("side"), "fp")
     right = rows.join(F.broadcast(own_t), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("i"), F.pmod(deal, "nr").cast("int").alias("j"), F.lit(1).cast("byte").alias("side"), "fp")
     both = left.union(right).select(F.xxhash64("cell", "i", "j").alias("at"), "cell", "i", "j", "side", "fp")
 
