@@ -19,7 +19,9 @@ from .common import materialise
 
 DOMAINS = ("clean", "low", "toxic")
 #: Share of its own expected tokens that each domain keeps, before rounding to copies.
-TARGETS = (1.05, 0.25, 0.05)
+TARGETS = (1.05, 0.25, 0.25)
+#: A document counts this often at most.
+MOST = 4.0
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -27,12 +29,18 @@ def domain(quality: Column, toxic: Column) -> Column:
 
 
 class Classifier:
-    """Naive Bayes over hashed byte strings of ``width`` bytes, as an array lookup and a sum; mean, not total, evidence."""
+    """Posteriors from hashed byte strings of ``width`` bytes: an array look-up and a sum, over the whole text.
 
-    def __init__(self, bits: int = 16, width: int = 5, sharpness: float = 400.0):
-        self.bits, self.width, self.sharpness = bits, width, sharpness
+    A string speaks for a domain by the log ratio of its share there to that in the others, beyond ``floor`` (so that
+    common strings of long texts do not drown a few telling ones). A domain's evidence is the mean over a text's strings;
+    its logit is -sharpness at the median of the other domains' labelled documents and +sharpness at that of its own.
+    The first domain is what remains: logit zero.
+    """
+
+    def __init__(self, bits: int = 16, width: int = 5, sharpness: float = 8.0, floor: float = 1.5):
+        self.bits, self.width, self.sharpness, self.floor = bits, width, sharpness, floor
         self.weights = np.zeros((len(DOMAINS), 1 << bits))
-        self.centre, self.prior = np.zeros(len(DOMAINS)), np.zeros(len(DOMAINS))
+        self.centre, self.half, self.unseen = np.zeros(len(DOMAINS)), np.ones(len(DOMAINS)), np.zeros(len(DOMAINS))
 
     def buckets(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(bucket of every string, number of strings of each text)."""
@@ -46,7 +54,7 @@ class Classifier:
         return (h >> np.uint64(64 - self.bits)).astype(np.int64), np.array([len(x) for x in lines])
 
     def evidence(self, texts: list[str | None]) -> np.ndarray:
-        """A row for each text: mean weight of its strings for each domain, and the highest mean of any short stretch."""
+        """A row for each text: the mean weight of its strings for each domain."""
         at, sizes = self.buckets(texts)
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         return np.stack([np.add.reduceat(w[at], starts) / sizes for w in self.weights], axis=1)
@@ -54,28 +62,30 @@ class Classifier:
     def posterior(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.empty((0, len(DOMAINS)))
-        x = self.prior + self.sharpness * (self.evidence(texts) - self.centre)
-        x = np.exp(x - x.max(axis=1, keepdims=True))
+        x = self.sharpness * (self.evidence(texts) - self.centre) / self.half + self.unseen
+        x = np.exp(np.clip(x, -30, 30))
         return x / x.sum(axis=1, keepdims=True)
 
     @classmethod
     def fit(cls, texts: list[str | None], labels: list[int], **kw) -> Classifier:
-        """Sums of log shares with add-one smoothing; domains without a document keep an even prior of their own."""
+        """Without labels posteriors are even; a domain without a labelled document gets next to none."""
         self, labels = cls(**kw), np.asarray(labels)
         if not len(labels):
             return self
         at, sizes = self.buckets(texts)
         of = np.repeat(labels, sizes)
-        counts = np.stack([np.bincount(at[of == d], minlength=1 << self.bits) for d in range(len(DOMAINS))]).astype(float)
-        share = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
-        self.weights = np.log(share) - np.log(share.mean(axis=0))
-        seen = np.array([(labels == d).sum() for d in range(len(DOMAINS))])
-        self.prior = np.log((seen + 1) / (len(labels) + len(DOMAINS)))
-        # a domain's evidence counts from halfway between its own documents and the others
+        counts = np.stack([np.bincount(at[of == d], minlength=1 << self.bits) for d in range(len(DOMAINS))]) + 0.5
+        for d in range(1, len(DOMAINS)):
+            others = counts.sum(axis=0) - counts[d]
+            ratio = np.log(counts[d] / counts[d].sum()) - np.log(others / others.sum())
+            self.weights[d] = np.maximum(0, ratio - self.floor)
         e = self.evidence(texts)
-        for d in range(len(DOMAINS)):
-            if 0 < seen[d] < len(labels):
-                self.centre[d] = (np.median(e[labels == d, d]) + np.median(e[labels != d, d])) / 2
+        for d in range(1, len(DOMAINS)):
+            own, rest = e[labels == d, d], e[labels != d, d]
+            if len(own) and len(rest) and np.median(own) > np.median(rest):
+                self.centre[d], self.half[d] = (np.median(own) + np.median(rest)) / 2, (np.median(own) - np.median(rest)) / 2
+            else:
+                self.unseen[d] = -20.0
         return self
 
 
@@ -109,25 +119,26 @@ def memberships(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ("do
     return docs.select(*(f"`{c}`" for c in keep), F.col("text").alias("_text")).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "_tokens long", "_p array<long>"]))
 
 
-def rate(p: Column, steps: list[list[float]]) -> Column:
-    """max(0, .) after each step, from one: the projected gradient's path of a document."""
+def rate(p: Column, steps: list[list[float]], most: float = MOST) -> Column:
+    """Projected to 0..``most`` after each step, from one: the projected gradient's path of a document."""
     r = F.lit(1.0)
     for step in steps:
-        r = F.greatest(F.lit(0.0), r - sum((F.get(p, d) * F.lit(float(g) / (1 << 20)) for d, g in enumerate(step)), F.lit(0.0)))
+        r = F.least(F.lit(most), F.greatest(F.lit(0.0), r - sum((F.get(p, d) * F.lit(float(g) / (1 << 20)) for d, g in enumerate(step)), F.lit(0.0))))
     return r
 
 
-def fit_rates(members: DataFrame, targets: tuple[float, ...] = TARGETS, tolerance: float = 1e-6, most: int = 20) -> tuple[list[list[float]], list[float], list[float]]:
-    """(steps, expected totals, target totals): each step is one aggregation of D + D^2 sums.
+def fit_rates(members: DataFrame, targets: tuple[float, ...] = TARGETS, tolerance: float = 1e-6, rounds: int = 20, most: float = MOST) -> tuple[list[list[float]], list[float], list[float]]:
+    """(steps, expected totals, target totals): each round is one aggregation of D + D^2 sums.
 
     The gradient of the squared misses, in the metric of document tokens, is a combination of the posteriors; its
-    coefficients solve the D x D Gram system over documents whose rate is positive, so a step without projection is exact.
+    coefficients solve the D x D Gram system over documents that can still move, so a step without projection is exact.
+    A step that projection turned into a worse one is halved.
     """
-    n, steps, goal = len(targets), [], None
+    n, steps, goal, was, kept = len(targets), [], None, float("inf"), []
     totals = np.zeros(n)
-    for _ in range(most):
-        r = rate(F.col("_p"), steps)
-        weight, live = F.col("_tokens") * r, F.when(r > 0, F.col("_tokens")).otherwise(0)
+    for _ in range(rounds):
+        r = rate(F.col("_p"), steps, most)
+        weight, live = F.col("_tokens") * r, F.when((r > 0) & (r < most), F.col("_tokens")).otherwise(0)
         share = [F.get("_p", d) / float(1 << 20) for d in range(n)]
         sums = [F.sum(weight * share[d]) for d in range(n)] + [F.sum(live * share[a] * share[b]) for a in range(n) for b in range(a, n)]
         got = [x or 0.0 for x in members.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first()]
@@ -135,14 +146,19 @@ def fit_rates(members: DataFrame, targets: tuple[float, ...] = TARGETS, toleranc
         if goal is None:
             goal = totals * np.asarray(targets)
         miss = totals - goal
+        now = float(np.square(miss).sum())
+        if now > was:
+            steps = [*kept, [g / 2 for g in steps[-1]]]
+            continue
+        was, kept = now, list(steps)
         if np.abs(miss).max() <= tolerance * max(1.0, totals.sum()):
             break
         gram, it = np.zeros((n, n)), iter(got[n:])
         for a in range(n):
             for b in range(a, n):
                 gram[a, b] = gram[b, a] = next(it)
-        steps.append(np.linalg.lstsq(gram + np.eye(n) * 1e-9 * max(1.0, np.trace(gram)), miss, rcond=None)[0].tolist())
-    return steps, totals.tolist(), [] if goal is None else goal.tolist()
+        steps = [*kept, np.linalg.lstsq(gram + np.eye(n) * 1e-9 * max(1.0, np.trace(gram)), miss, rcond=None)[0].tolist()]
+    return kept, totals.tolist(), [] if goal is None else goal.tolist()
 
 
 def copies(r: Column, key: Column) -> Column:
