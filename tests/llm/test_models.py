@@ -211,6 +211,48 @@ def test_ctw_weights_against_the_recursion(spark):
     assert ctw.xxh64_long(x).tolist() == want
 
 
+@pytest.mark.parametrize("slots", [8, 1 << 14])
+def test_ctw_scores_use_every_counted_node(spark, slots):
+    """However few strings are held in memory, scores are those of the whole tree."""
+    depth, docs = 3, corpus(60)
+    lines = {i: b"\n" * depth + b" ".join((t or "").encode().lower().split()) + b"\n" for i, t in docs}
+    counts = defaultdict(lambda: [0, 0])
+    for i, s in lines.items():
+        for at in range(depth, len(s) if ctw.in_training(i) else 0):
+            for k in range(8):
+                for d in range(depth + 1):
+                    counts[s[at - d : at], 1 << k | s[at] >> 8 - k][s[at] >> 7 - k & 1] += 1
+    kids = defaultdict(list)
+    for c, z in counts:
+        if c:
+            kids[c[1:], z].append((c, z))
+    pe = {x: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1) for x, (a, b) in counts.items()}
+    pw = {}
+    for x in sorted(counts, key=lambda x: -len(x[0])):
+        own, below = pe[x], sum(pw[y] for y in kids[x])
+        pw[x] = own if len(x[0]) == depth else max(own, below) + math.log(0.5 * math.exp(own - max(own, below)) + 0.5 * math.exp(below - max(own, below)))
+
+    def one(context, z):
+        total, left, last = 0.0, 1.0, 0.5
+        for d in range(depth + 1):
+            x = (context[depth - d :], z)
+            if x not in counts:
+                return total + left * last
+            last = (counts[x][1] + 0.5) / (sum(counts[x]) + 1)
+            stop = 1.0 if d == depth else 0.5 * math.exp(pe[x] - pw[x])
+            total, left = total + left * stop * last, left * (1 - stop)
+        return total
+
+    got = {r.doc_id: r.score for r in ctw.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), depth=depth, slots=slots).collect()}
+    for i, s in lines.items():
+        want = 0.0
+        for at in range(depth, len(s)):
+            for k in range(8):
+                p = one(s[at - depth : at], 1 << k | s[at] >> 8 - k)
+                want += math.log10(p if s[at] >> 7 - k & 1 else 1 - p)
+        assert abs(got[i] - want) < 1e-6 * max(1, -want), i
+
+
 def test_ctw_probabilities_sum_to_one(spark):
     rows = spark.createDataFrame(corpus(60), "doc_id long, text string").withColumn("r", F.monotonically_increasing_id())
     shallow, deep = ctw.publish(ctw.tree(ctw.string_counts(rows, 3), 3), 1 << 12)

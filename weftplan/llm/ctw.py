@@ -4,9 +4,10 @@ Each byte is eight binary decisions, and each decision has a context tree over t
 0..depth bytes, bits decided so far) holds Krichevsky-Trofimov counts of zeros and ones; its weighted probability mixes
 its own estimate, by one half, with the product of its children's, so every depth takes part. Counts come from all
 training documents: tasks count byte strings of depth + 1, Spark sums them, and one aggregation for each level gives
-nodes, estimates and mixing weights exactly. For scoring, nodes go to a table of ``slots`` entries, a fixed size,
-where the node seen most often holds a contested slot; a path that finds no node ends with its parent's estimate.
-Contexts of no or one byte have a full table of their own.
+nodes, estimates and mixing weights exactly. Strings that only other documents hold are counted zero times, which leaves
+all estimates and weights as they are and gives each scored string a path of its own. For scoring, one join for each level
+takes the mixture down to the strings; the most frequent strings, a fixed number, are looked up in memory, all others
+meet their values in a join, so every counted node takes part whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, written
+from .common import drop_table, materialise, read_table, written
 
 #: The end of a text, coded as a byte that no word holds; it also stands before the first byte.
 END = b"\n"
@@ -94,24 +95,30 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def string_counts(rows: DataFrame, depth: int) -> DataFrame:
-    """(g, n): counts of the training documents' strings of depth + 1 bytes."""
+def string_counts(rows: DataFrame, depth: int, every: bool = False) -> DataFrame:
+    """(g, n, m): counts of strings of depth + 1 bytes, in the training documents and in all that are read.
+
+    With ``every``, the other documents are read too, whose own strings have n = 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(at, weights=np.concatenate([n for _, n in held])).astype(np.int64)
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            keys, at = np.unique(np.concatenate([k for k, _, _ in held]), return_inverse=True)
+            n, m = (np.bincount(at, weights=np.concatenate(x)).astype(np.int64) for x in list(zip(*held))[1:])
+            return keys, n, m
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], ["g", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1]), pa.array(held[0][2])], ["g", "n", "m"])
 
         for chunk in _chunks(batches):
-            texts = [text_words(t) for _, d, t in chunk if in_training(d)]
-            if texts:
-                held.append(np.unique(coded(texts, depth)[0], return_counts=True))
-                size += len(held[-1][0])
+            for training in (True, False) if every else (True,):
+                texts = [text_words(t) for _, d, t in chunk if in_training(d) == training]
+                if texts:
+                    keys, m = np.unique(coded(texts, depth)[0], return_counts=True)
+                    held.append((keys, m if training else np.zeros_like(m), m))
+                    size += len(keys)
             if size > HOLD_STRINGS:
                 held = [merged()]
                 size = len(held[0][0])
@@ -122,7 +129,7 @@ def string_counts(rows: DataFrame, depth: int) -> DataFrame:
             held = [merged()]
             yield out()
 
-    return rows.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, "g long, n long, m long").groupBy("g").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def log_gamma(x: Column) -> Column:
@@ -137,7 +144,7 @@ def tree(strings: DataFrame, depth: int) -> list[DataFrame]:
     prefix = F.expr("(1L << k) | shiftrightunsigned(g & 255L, 8 - k)")
     bit = F.expr("shiftrightunsigned(g & 255L, 7 - k) & 1L")
     bits = strings.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7)))).select((F.expr("shiftrightunsigned(g, 8) << 8").bitwiseOR(prefix)).alias("key"), (F.col("n") * (1 - bit)).alias("a"), (F.col("n") * bit).alias("b"))
-    own = log_gamma(F.col("a") + 0.5) + log_gamma(F.col("b") + 0.5) - log(np.pi) - log_gamma((F.col("a") + F.col("b") + 1).cast("double"))
+    own = F.when(F.col("a") + F.col("b") > 0, log_gamma(F.col("a") + 0.5) + log_gamma(F.col("b") + 0.5) - log(np.pi) - log_gamma((F.col("a") + F.col("b") + 1).cast("double"))).otherwise(0.0)
     level = materialise(bits.groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).select("key", "a", "b", F.lit(1.0).alias("stop"), own.alias("w")), f"tree{depth}")
     out = [level]
     for d in range(depth - 1, -1, -1):
@@ -149,6 +156,55 @@ def tree(strings: DataFrame, depth: int) -> list[DataFrame]:
     return out[::-1]
 
 
+def string_values(strings: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(g, m, v): log10 of the probability of each string's last byte after the others.
+
+    ``strings`` are those that ``levels`` were made of. The mixture goes down the tree with one join for each level, of
+    256 children to a node at most; a node that training never met repeats its parent's estimate.
+    """
+    p, seen = (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1), F.col("a") + F.col("b") > 0
+    path = levels[0].select("key", p.alias("said"), (F.col("stop") * p).alias("one"), (1 - F.col("stop")).alias("left"))
+    for d, level in enumerate(levels[1:], 1):
+        up = path.select(F.col("key").alias("up"), F.col("said").alias("was"), F.col("one").alias("one0"), F.col("left").alias("left0"))
+        met = level.withColumn("up", F.col("key").bitwiseAND(F.lit((1 << (8 * d)) - 1).cast("long"))).join(up, "up")
+        path = met.select("key", F.when(seen, F.col("one0") + F.col("left0") * p).otherwise(F.col("was")).alias("said"), (F.col("one0") + F.col("left0") * F.col("stop") * p).alias("one"), (F.col("left0") * (1 - F.col("stop"))).alias("left"))
+    # a row for each whole context, with 255 estimates at most
+    said = path.groupBy(F.shiftrightunsigned("key", 8).alias("context")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("key").bitwiseAND(F.lit(255).cast("long")).cast("int"), "said"))).alias("said"))
+    met = strings.select("g", "m", F.shiftrightunsigned("g", 8).alias("context")).join(said, "context")
+    value = F.lit(0.0)
+    for k in range(8):
+        one = F.col("said")[F.expr(f"cast((1L << {k}) | shiftrightunsigned(g & 255L, {8 - k}) as int)")]
+        chance = F.when(F.expr(f"shiftrightunsigned(g & 255L, {7 - k}) & 1L") == 1, one).otherwise(1 - one)
+        value += F.log10(F.greatest(chance, F.lit(1e-12)))
+    return met.select("g", "m", value.alias("v"))
+
+
+class Held:
+    """Values of the most frequent strings; :meth:`log10` gives NaN for any other."""
+
+    def __init__(self, strings: np.ndarray, values: np.ndarray):
+        order = np.argsort(strings)
+        self.strings, self.values = strings[order], values[order]
+        self.cached_strings, self.cached = np.full(1 << CACHE_BITS, (1 << 64) - 1, dtype=np.uint64), np.zeros(1 << CACHE_BITS)
+
+    def log10(self, strings: np.ndarray) -> np.ndarray:
+        """Of each string; values are kept in a table of fixed size, as most strings come again."""
+        at = (strings * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
+        out = self.cached[at]
+        miss = np.flatnonzero(self.cached_strings[at] != strings)
+        if len(miss):
+            new = strings[miss]
+            found = np.full(len(new), np.nan)
+            if len(self.strings):
+                place = np.minimum(np.searchsorted(self.strings, new), len(self.strings) - 1)
+                here = self.strings[place] == new
+                found[here] = self.values[place[here]]
+            out[miss] = found
+            # of strings that share an entry the last one stays, in both arrays
+            self.cached_strings[at[miss]], self.cached[at[miss]] = new, found
+        return out
+
+
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 
 
@@ -168,7 +224,8 @@ def xxh64_long(x: np.ndarray, seed: int = 42) -> np.ndarray:
 
 
 class Model:
-    """The tree as tables of fixed size; :meth:`log10` gives the probability of each byte after its context."""
+    """The tree as tables of fixed size, for strings that were not counted; :meth:`log10` gives the probability of each
+    byte after its context. Exact where ``slots`` hold all nodes; :func:`score` doesn't depend on it."""
 
     def __init__(self, depth: int, slots: int):
         self.depth, self.slots = depth, slots
@@ -253,24 +310,42 @@ def publish(levels: list[DataFrame], slots: int) -> tuple[str, str]:
     return written(shallow, "shallow"), deep
 
 
-_loaded: dict[str, tuple[dict[bytes, int], Model]] = {}
+_loaded: dict[str, tuple[dict[bytes, int], Held]] = {}
 
 
-def loaded(words: str, shallow: str, deep: str, depth: int, slots: int) -> tuple[dict[bytes, int], Model]:
-    """Frequent words and model, once for each worker process; an older model goes."""
+def loaded(words: str, strings: str) -> tuple[dict[bytes, int], Held]:
+    """Frequent words and strings, once for each worker process; older ones go."""
     if words not in _loaded:
         _loaded.clear()
-        got = read_table(words)
-        _loaded[words] = dict(zip(got.column("word").to_pylist(), got.column("c").to_pylist())), Model.load(shallow, deep, depth, slots)
+        got, own = read_table(words), read_table(strings)
+        _loaded[words] = dict(zip(got.column("word").to_pylist(), got.column("c").to_pylist())), Held(own.column("g").to_numpy().view(np.uint64), own.column("v").to_numpy())
     return _loaded[words]
 
 
+def least_power(sizes: list, limit: int) -> int:
+    """The least power ``p`` so that all entries of it and above, ``v`` of each, are ``limit`` at most."""
+    held, least = 0, 1 << 20
+    for x in sorted(sizes, key=lambda x: -x["p"]):
+        if held + x["v"] > limit:
+            break
+        held, least = held + x["v"], x["p"]
+    return least
+
+
+def string_keys(strings: np.ndarray) -> pa.Array:
+    """A key for each string that is no word and no row's: the end, an s and its eight bytes."""
+    raw = np.empty((len(strings), 10), dtype=np.uint8)
+    raw[:, 0], raw[:, 1] = END[0], ord("s")
+    raw[:, 2:] = strings.astype(">u8").view(np.uint8).reshape(-1, 8)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(10), len(strings), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
+
+
 def score(docs: DataFrame, depth: int = 5, slots: int = 1 << 21, frequent: int = 100_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte): a row for each row.
 
     Null and empty texts are one token, the end. Rows with a null doc_id train; repeated rows train and are scored one
-    by one. With no training document all counts are zero and every bit has probability one half. Extra columns are ignored. ``frequent`` words at most
-    are looked up in memory; all others meet their counts in a join.
+    by one. With no training document all counts are zero and every bit has probability one half. Extra columns are ignored. ``frequent`` words
+    and ``slots`` strings at most are looked up in memory; all others meet their counts and values in a join.
     """
     if not 0 <= depth <= 6:
         raise ValueError("contexts have six bytes at most")
@@ -279,24 +354,36 @@ def score(docs: DataFrame, depth: int = 5, slots: int = 1 << 21, frequent: int =
     power = F.floor(F.log2("c") * 8).cast("int")
     sizes = vocabulary.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).collect()  # 8 x 63 rows at most
     n_train, distinct = sum(x["n"] for x in sizes), sum(x["v"] for x in sizes)
-    held, least = 0, 1 << 20
-    for x in sorted(sizes, key=lambda x: -x["p"]):
-        if held + x["v"] > frequent:
-            break
-        held, least = held + x["v"], x["p"]
-    words = written(vocabulary.where(power >= least), "frequent")
-    shallow, deep = publish(tree(string_counts(rows, depth), depth), slots)
+    words = written(vocabulary.where(power >= least_power(sizes, frequent)), "frequent")
+    strings = materialise(string_counts(rows, depth, every=True), "strings")
+    levels = tree(strings, depth)
+    values = materialise(string_values(strings, levels), "values")
+    for done in (strings, *levels):
+        drop_table(done)
+    often = F.floor(F.log2("m") * 8).cast("int")
+    least = least_power(values.groupBy(often.alias("p")).agg(F.count(F.lit(1)).alias("v")).collect(), slots)  # 8 x 63 rows at most
+    held = written(values.where(often >= least).select("g", "v"), "held")
     norm = np.log10(float(n_train + distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, tables = loaded(words, shallow, deep, depth, slots)
+        counts, tables = loaded(words, held)
         fields = [("r", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("word", pa.binary()), ("tf", pa.int64())]
         ends = counts.get(END, 0)
         for chunk in _chunks(batches):
             texts = [text_words(t) for _, _, t in chunk]
-            strings, owner = coded(texts, tables.depth)
-            scores = np.bincount(owner, weights=tables.log10(strings), minlength=len(chunk))
+            strings, owner = coded(texts, depth)
             sizes = np.bincount(owner, minlength=len(chunk))
+            found = tables.log10(strings)
+            lost = np.isnan(found)
+            scores = np.bincount(owner, weights=np.where(lost, 0, found), minlength=len(chunk))
+            if lost.any():
+                g, of = strings[lost], owner[lost]
+                order = np.lexsort((g, of))
+                g, of = g[order], of[order]
+                first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (of[1:] != of[:-1])]))
+                n, numbers, zeros = len(first), np.array([x[0] for x in chunk], dtype=np.int64), np.zeros(len(first))
+                columns = [numbers[of[first]], pa.nulls(n, pa.int64()), zeros, zeros, zeros, zeros, zeros, string_keys(g[first]), np.diff(np.append(first, len(g)))]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.astype(t.to_pandas_dtype())) for c, (_, t) in zip(columns, fields)], schema=pa.schema(fields))
             out, rare = [], []
             for (r, doc_id, _), said, s, b in zip(chunk, texts, scores.tolist(), sizes.tolist()):
                 known, base = int(ends > 0), np.log10(ends + 1) - norm
@@ -318,8 +405,11 @@ def score(docs: DataFrame, depth: int = 5, slots: int = 1 << 21, frequent: int =
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*part), fields)], schema=pa.schema(fields))
 
     scored = rows.mapInArrow(run, "r long, doc_id long, n_tokens long, n_known long, base double, score double, n_bytes long, word binary, tf long")
-    c = F.coalesce("c", F.lit(0))
-    met = scored.join(vocabulary, "word", "left").select("r", "doc_id", "n_tokens", F.when(c > 0, F.col("tf")).otherwise(0).alias("tf_known"), "n_known", ((F.log10(c + 1) - float(norm)) * F.col("tf") + F.col("base")).alias("base"), "score", "n_bytes")
+    c, string = F.coalesce("c", F.lit(0)), F.col("v").isNotNull()
+    key = F.concat(F.lit(END + b"s"), F.unhex(F.lpad(F.hex("g"), 16, "0")))
+    entries = vocabulary.select("word", "c", F.lit(None).cast("double").alias("v")).union(values.where(often < least).select(key.alias("word"), F.lit(0).cast("long").alias("c"), "v"))
+    base = F.when(string, 0.0).otherwise((F.log10(c + 1) - float(norm)) * F.col("tf")) + F.col("base")
+    met = scored.join(entries, "word", "left").select("r", "doc_id", "n_tokens", F.when(c > 0, F.col("tf")).otherwise(0).alias("tf_known"), "n_known", base.alias("base"), (F.col("score") + F.coalesce(F.col("v") * F.col("tf"), F.lit(0.0))).alias("score"), "n_bytes")
     by_row = met.groupBy("r").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.col("tf_known")).alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"), F.sum("n_bytes").alias("n_bytes"))
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     return by_row.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))
