@@ -297,6 +297,19 @@ def test_mixing_meets_targets(spark):
     assert all(x.rate >= 0 and x.copies in (math.floor(x.rate), math.floor(x.rate) + 1) for x in out)
 
 
+def test_mixing_learns_from_whole_texts(spark):
+    """Strings that tell a domain stand after the first 4,000 characters only."""
+    r = random.Random(5)
+    kinds = ["river stone cloud tree", "BUY!! NOW!! $$$ ###", "idiot moron scum trash"]
+    head = "river stone cloud tree " * 200
+    docs = [(i, head + " ".join(r.choices(kinds[i % 3].split(), k=200))) for i in range(120)]
+    labels = [(i, int(i % 3 != 1), int(i % 3 == 2)) for i in range(60)]
+    out = mixing.mix(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), targets=(1.0, 1.0, 1.0)).collect()
+    assert len(out) == 120
+    for d, name in enumerate(mixing.DOMAINS):
+        assert all((x[f"p_{name}"] > 0.5) == (x.doc_id % 3 == d) for x in out), name
+
+
 def test_mixing_hard_rows(spark, hard_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = mixing.mix(hard_docs, none, targets=(1.0, 1.0, 1.0))

@@ -66,38 +66,69 @@ class Classifier:
         x = np.exp(np.clip(x, -30, 30))
         return x / x.sum(axis=1, keepdims=True)
 
-    @classmethod
-    def fit(cls, texts: list[str | None], labels: list[int], **kw) -> Classifier:
-        """Without labels posteriors are even; a domain without a labelled document gets next to none."""
-        self, labels = cls(**kw), np.asarray(labels)
-        if not len(labels):
-            return self
-        at, sizes = self.buckets(texts)
-        of = np.repeat(labels, sizes)
-        counts = np.stack([np.bincount(at[of == d], minlength=1 << self.bits) for d in range(len(DOMAINS))]) + 0.5
+    def weigh(self, counts: np.ndarray) -> None:
+        """Set the weights from the number of each domain's strings in each bucket."""
+        counts = counts + 0.5
         for d in range(1, len(DOMAINS)):
             others = counts.sum(axis=0) - counts[d]
             ratio = np.log(counts[d] / counts[d].sum()) - np.log(others / others.sum())
             self.weights[d] = np.maximum(0, ratio - self.floor)
-        e = self.evidence(texts)
+
+    def place(self, e: np.ndarray, labels: np.ndarray) -> None:
+        """Set centre and half-width from the labelled texts' evidence; a domain without a labelled text gets next to none."""
         for d in range(1, len(DOMAINS)):
             own, rest = e[labels == d, d], e[labels != d, d]
             if len(own) and len(rest) and np.median(own) > np.median(rest):
                 self.centre[d], self.half[d] = (np.median(own) + np.median(rest)) / 2, (np.median(own) - np.median(rest)) / 2
             else:
                 self.unseen[d] = -20.0
-        return self
 
 
-def sample(docs: DataFrame, labels: DataFrame, limit: int) -> list:
-    """``limit`` labelled documents of each domain at most, by the hash of their id; texts to the driver, cut to 4,000 characters for fitting only."""
+def sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
+    """(doc_id, domain, text): ``limit`` labelled documents of each domain at most, by the hash of their id, with whole texts."""
     rows = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), domain(F.col("quality"), F.col("toxic")).alias("domain")).where("domain is not null").dropDuplicates(["doc_id"])
     picked = None
     for d in range(len(DOMAINS)):
         part = rows.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
         picked = part if picked is None else picked.union(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")  # 3 x limit rows
-    return texts.select("doc_id", "domain", F.substring("text", 1, 4000).alias("text")).dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    return texts.select("doc_id", "domain", "text").dropDuplicates(["doc_id"])
+
+
+def fit(labelled: DataFrame, **kw) -> Classifier:
+    """From (domain, text), read twice on the executors, so that no text goes to the driver.
+
+    The driver gets a count for each domain and bucket, and each labelled text's evidence. Without labels posteriors are even.
+    """
+    model = Classifier(**kw)
+    size = 1 << model.bits
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(DOMAINS) * size, dtype=np.int64)
+        for batch in batches:
+            for d, text in zip(batch.column("domain").to_pylist(), batch.column("text").to_pylist()):
+                counts[d * size : (d + 1) * size] += np.bincount(model.buckets([text])[0], minlength=size)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "n"])
+
+    # a row for each domain and bucket at most
+    got = labelled.select("domain", "text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    if not len(got):
+        return model
+    counts = np.zeros(len(DOMAINS) * size)
+    counts[got["at"].to_numpy()] = got["n"].to_numpy()
+    model.weigh(counts.reshape(len(DOMAINS), size))
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                e = np.concatenate([shared.value.evidence([t]) for t in batch.column("text").to_pylist()])
+                yield pa.RecordBatch.from_arrays([batch.column("domain"), *(pa.array(x) for x in e.T)], ["domain", *DOMAINS])
+
+    got = labelled.select("domain", "text").mapInArrow(evidence, ", ".join(["domain int", *(f"{name} double" for name in DOMAINS)])).toPandas()
+    model.place(got[list(DOMAINS)].to_numpy(), got["domain"].to_numpy())
+    return model
 
 
 def memberships(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -173,8 +204,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: tuple[float, ...] = TARGETS
     Null and empty texts have one token and a posterior from the prior. Rows with a null doc_id share one decision;
     repeated rows have equal rates and copies. Without labels posteriors are even. An empty table gives an empty result.
     """
-    rows = sample(docs, labels, limit)
-    model = Classifier.fit([x["text"] for x in rows], [x["domain"] for x in rows])
+    model = fit(materialise(sample(docs, labels, limit), "labelled"))
     steps, _, _ = fit_rates(materialise(memberships(docs, model), "members"), targets)
     added = ("tokens", *(f"p_{name}" for name in DOMAINS), "rate", "copies")
     docs = docs.drop(*added)
