@@ -13,7 +13,7 @@ def test_stages_by_hand(spark):
 
     from test_components_simhash import plain_fingerprint, union_find
     from test_models import features
-    from test_text_dedup import lines_by_hand
+    from test_text_dedup import passages_by_hand
     from weftplan.llm import mixing, packing
     from weftplan.llm.common import materialise
 
@@ -33,8 +33,8 @@ def test_stages_by_hand(spark):
     groups = union_find([(a, b) for k, a in enumerate(ids) for b in ids[k:] if (fps[a] ^ fps[b]).bit_count() <= 2])
     assert set(near) == {i for i in ids if groups.get(i, i) == i}
     order = sorted(near.items())
-    by_hand = {i: t for (i, before), t in zip(order, lines_by_hand(order, 10)) if t or t == before}
-    assert lines == by_hand
+    by_hand = {i: words for (i, before), (words, _) in zip(order, passages_by_hand(order)) if words or not before.split()}
+    assert {i: t.encode().lower().decode().split() for i, t in lines.items()} == by_hand
     counts = Counter(r.doc_id for r in docs.collect())
     want = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(list(lines.items()), "doc_id long, text string"), spark.read.parquet(f"{SF}/labels.parquet")).collect() if r.copies}
     assert counts == want and set(mixed) <= set(lines)

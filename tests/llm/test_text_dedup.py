@@ -92,6 +92,62 @@ def lines_by_hand(docs, min_words, cut="\n"):
     return out
 
 
+def passages_by_hand(docs, size=line_dedup.SIZE, step=line_dedup.STEP):
+    """docs: (id, text) in order of rank. The words that stay of each text, and its number of removed stretches."""
+    h = lambda w: hashlib.md5(w.encode()).digest()[:8]
+    seen, out = set(), []
+    for _, text in docs:
+        words = (text or "").encode().lower().decode().split(" ") if text else []
+        words = [w for w in "".join(" " if c in "\t\n\x0b\f\r" else c for c in " ".join(words)).split(" ") if w]
+        m, gone = len(words) - size + 1, set()
+        begins = {0, m - 1} if m > 0 else set()
+        for a in range(m - step + 1):
+            begins.add(min(range(a, a + step), key=lambda i: (h(words[i]), h(words[i + 1]) if i + 1 < len(words) else b"", i)))
+        for i in sorted(begins):
+            unit = tuple(words[i : i + size])
+            if unit in seen:
+                gone |= set(range(i, i + size))
+            seen.add(unit)
+        out.append(([w for i, w in enumerate(words) if i not in gone], sum(i - 1 not in gone for i in gone)))
+    return out
+
+
+def passage_corpus(seed, n=80):
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("abcdeé ".strip()) for _ in range(r.randrange(1, 6))) for _ in range(60)]
+    some = lambda k: " ".join(r.choice(vocabulary) for _ in range(k))
+    shared = [some(k) for k in (20, 35, 36, 48, 49, 50, 60, 200)]
+    texts = ["\n".join(x for _ in range(r.randrange(1, 4)) for x in (some(r.randrange(30)) + " " + r.choice(shared).upper() + "  " + some(r.randrange(30)),)) for _ in range(n)]
+    return texts + texts[:8] + [None, "", " \t\n", some(35), some(36), "a " * 120, "a b " * 80, some(100).replace(" ", "\n\n\t")]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_passage_dedup_against_brute_force(spark, seed):
+    docs = list(enumerate(passage_corpus(seed)))
+    got = {r.doc_id: r for r in line_dedup.remove_repeated(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    for (i, text), (kept, n) in zip(docs, passages_by_hand(docs)):
+        r = got[i]
+        assert (r.text is None) == (text is None) and (r.text or "").encode().lower().split() == [w.encode() for w in kept] and len(r.removed or []) == n
+        if r.removed:  # offsets are those of the original text, and what is left is the rest of it
+            edges = [0, *(x for s in r.removed for x in s), len(text)]
+            left = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+            assert r.text == (left.rstrip() if r.removed[-1].end == len(text) else left)
+        else:
+            assert r.text == text
+
+
+def test_passages_of_49_words_are_found_wherever_they_stand():
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    for _ in range(50):
+        passage = [word() for _ in range(line_dedup.SIZE + line_dedup.STEP - 1)]
+        found = []
+        for _ in range(2):
+            words = [word() for _ in range(r.randrange(80))] + passage + [word() for _ in range(r.randrange(80))]
+            found.append({d for _, d in line_dedup.text_units("\n".join(words), "passage", 0)})
+        assert found[0] & found[1]
+
+
 @pytest.mark.parametrize("unit", ["line", "paragraph"])
 def test_line_dedup(spark, unit):
     r = random.Random(7)
@@ -107,10 +163,15 @@ def test_line_dedup(spark, unit):
 
 
 def test_line_dedup_hard_rows(spark, hard_docs):
-    got = line_dedup.remove_repeated(hard_docs)
-    assert got.count() == hard_docs.count() and set(hard_docs.columns) <= set(got.columns)
-    by = {}
-    for r in got.collect():
-        by.setdefault(r.doc_id, []).append(r.text)
-    assert by[2] == [None] and by[3] == [""] and by[5] == [""] and len(by[4][0]) > 1000 and sorted(map(str, by[None])) == ["None", "a b c"]
-    assert line_dedup.remove_repeated(hard_docs.limit(0)).count() == 0
+    clash = hard_docs.selectExpr("*", "'a' removed", "'b' _k", "'c' k", "'d' row", "'e' at", "'f' i", "'g' x", "'h' d1", "cast(null as string) rank")
+    for unit in ("passage", "line", "paragraph"):
+        got = line_dedup.remove_repeated(clash, unit)
+        assert sorted(got.columns) == sorted(clash.columns) and {(r._k, r.k, r.row, r.at, r.i, r.x, r.d1, r.rank) for r in got.collect()} == {("b", "c", "d", "e", "f", "g", "h", None)}
+        by = {}
+        for r in got.collect():
+            by.setdefault(r.doc_id, []).append(r.text)
+        assert sum(map(len, by.values())) == hard_docs.count()
+        assert by[2] == [None] and by[3] == [""] and by[5] == [""] and len(by[4][0]) > 1000 and sorted(map(str, by[None])) == ["None", "a b c"]
+        assert line_dedup.remove_repeated(hard_docs.limit(0), unit).count() == 0
+    with pytest.raises(ValueError):
+        line_dedup.remove_repeated(hard_docs, "page")

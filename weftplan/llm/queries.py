@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,8 +49,11 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.remove_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("whole"))
+    words = lambda c: F.filter(F.split(F.translate(c, string.ascii_uppercase, string.ascii_lowercase), "[ \\t\\n\\x0b\\f\\r]+"), lambda x: x != "")
+    out = line_dedup.remove_repeated(docs).withColumn("kept", words("text"))
+    gone = F.when(F.col("removed").isNull(), 0).otherwise(F.size(words("whole")) - F.size("kept"))
+    return out.select("doc_id", gone.cast("long").alias("n_removed"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_spans"), F.md5(F.coalesce(F.array_join("kept", " "), F.lit("")).cast("binary")).alias("kept_md5"))
 
 
 def op9_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,16 +84,34 @@ SELECT t.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(t.vec_id, co
   t.vec_id = least(t.vec_id, coalesce(m.b, t.vec_id)) AS kept
 FROM embeddings t LEFT JOIN n ON n.a = t.vec_id LEFT JOIN least m ON m.a = t.vec_id
 """,
+    # units of 36 words begin at either end of a text and at the least pair of word hashes among 14 neighbouring starts
     "op8_line_dedup": r"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents
+WITH t AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS words
+  FROM documents
+), t0 AS (
+  SELECT doc_id, len(words) - 35 AS m FROM t
+), w AS (
+  SELECT doc_id, len(words) - 35 AS m, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM t
+), h AS (
+  SELECT *, left(md5(word), 16) || coalesce(lead(left(md5(word), 16)) OVER (PARTITION BY doc_id ORDER BY i), '') || lpad(CAST(i AS VARCHAR), 12, '0') AS h FROM w
+), least AS (
+  SELECT DISTINCT doc_id, CAST(right(x, 12) AS BIGINT) AS i FROM (
+    SELECT doc_id, m, i, min(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 13 FOLLOWING) AS x FROM h WHERE i <= m
+  ) WHERE i + 13 <= m
+  UNION SELECT doc_id, unnest([1, m]) AS i FROM t0 WHERE m >= 1
 ), u AS (
-  SELECT *, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS norm FROM l
+  SELECT l.doc_id, l.i, row_number() OVER (PARTITION BY array_to_string(t.words[l.i : l.i + 35], ' ') ORDER BY l.doc_id, l.i) > 1 AS again
+  FROM least l JOIN t USING (doc_id)
+), g AS (
+  SELECT w.doc_id, w.i, w.word, coalesce(max(CASE WHEN u.again THEN 1 ELSE 0 END) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 35 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM w LEFT JOIN u ON u.doc_id = w.doc_id AND u.i = w.i
+), s AS (
+  SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS first FROM g
 ), r AS (
-  SELECT *, len(string_split(norm, ' ')) >= 10 AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, n) > 1 AS gone FROM u
+  SELECT doc_id, sum(gone) AS n_removed, count(*) FILTER (WHERE first) AS n_spans, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) AS kept FROM s GROUP BY doc_id
 )
-SELECT doc_id, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,
-  md5(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_md5
-FROM r GROUP BY doc_id
+SELECT t.doc_id, CAST(coalesce(r.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(r.n_spans, 0) AS BIGINT) AS n_spans, md5(coalesce(r.kept, '')) AS kept_md5
+FROM t LEFT JOIN r USING (doc_id)
 """,
 }
