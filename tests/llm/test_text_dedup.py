@@ -42,7 +42,7 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("group", [4, 256])
+@pytest.mark.parametrize("group", [1, 4, 256])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_suffix_dedup_against_brute_force(spark, seed, group, monkeypatch):
     texts = corpus(seed)
@@ -52,6 +52,28 @@ def test_suffix_dedup_against_brute_force(spark, seed, group, monkeypatch):
     assert got == {i: digest(*x) for i, x in enumerate(brute(texts, 40))}
 
 
+@pytest.mark.parametrize("size", [150, 230])
+def test_suffix_dedup_of_a_line_in_very_many_texts(spark, size, monkeypatch):
+    r = random.Random(size)
+    some = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    line = some(size)
+    texts = [some(r.randrange(150, 220)) + line + some(r.randrange(150, 220)) for _ in range(3000)]
+    seen = {}
+
+    def refined(hot, length, group, f=suffix_dedup.refined):
+        seen["hot"] = hot.count()
+        out = f(hot, length, group)
+        seen["small"], seen["alike"] = (sum(x.count() for x in part) for part in out[::-1])
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "refined", refined)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.digest(suffix_dedup.remove_repeated(df)).collect()}
+    assert got == {i: digest(*x) for i, x in enumerate(brute(texts, 200))}
+    # every phrase of the hot triggers goes to a few homes, however many meet it
+    assert seen["hot"] >= 3000 and seen["small"] <= 2 * seen["hot"] and seen["alike"] <= 7 * seen["hot"]
+
+
 def test_blocks_do_not_matter(monkeypatch):
     raw = "".join(corpus(3)[:60]).encode()
     whole = [np.concatenate(x) for x in zip(*suffix_dedup.phrases(raw, 40, 32))]
@@ -59,9 +81,9 @@ def test_blocks_do_not_matter(monkeypatch):
     parts = [np.concatenate(x) for x in zip(*suffix_dedup.phrases(raw, 40, 32))]
 
     def places(x):
-        return {(i, int(h)) for a, b, h in zip(*x) for i in range(a, b + 1)}
+        return {(i, int(h), int(g)) for a, b, h, g in zip(*x) for i in range(a, b + 1)}
 
-    assert places(whole) == places(parts) and {i for i, _ in places(whole)} == set(range(len(raw) - 39))
+    assert places(whole) == places(parts) and {i for i, _, _ in places(whole)} == set(range(len(raw) - 39))
 
 
 def test_suffix_dedup_hard_rows(spark, hard_docs):
@@ -73,7 +95,7 @@ def test_suffix_dedup_hard_rows(spark, hard_docs):
     assert sorted((r.n_bytes, r.n_removed) for r in got.where("n_bytes >= 10000").collect())[0] == (100_000, 100_000)
     assert suffix_dedup.remove_repeated(hard_docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        suffix_dedup.remove_repeated(hard_docs, length=20, k=16)
+        suffix_dedup.remove_repeated(hard_docs, length=20, k=32)
 
 
 def lines_by_hand(docs, min_words, cut="\n"):

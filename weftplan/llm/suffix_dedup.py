@@ -9,19 +9,25 @@ Dictionary and parse. Phrases whose trigger occurs once cannot repeat and drop o
 The rest form the dictionary (distinct phrases, with one place each) and the parse (how often each occurs). A phrase
 that occurs twice is repeated as a whole: runs of copies, however long and many, end here. The others meet in a suffix
 array of their trigger's part of the dictionary: suffixes are ranked by prefix doubling up to ``length`` bytes, and
-equal ranks are repeats. A trigger with very many phrases is dealt over tasks by the first bytes of the suffixes.
+equal ranks are repeats.
+
+Hot triggers. A trigger with more than ``group`` phrases has its suffixes halved by how far before the trigger they
+begin. All suffixes of such a half share a core around the trigger, so a phrase goes to one home for each half, keyed by
+its core; phrases alike in a whole half are one class, repeated as a whole; homes with few classes are ranked, those
+with many are halved again. Every suffix has one home, and after as many rounds as ``length`` has bits none is left.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, materialise, sorted_groups
+from .common import drop_table, keyed, materialise, sorted_groups
 
 #: Any odd number with well-mixed bits; its inverse modulo 2^64 makes window hashes differences of running sums.
 BASE = 0x9E3779B97F4A7C15
@@ -54,11 +60,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0]
 
 
-def triggers(raw: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, last, hash) for each phrase of a byte array: the starts of its first and last stretch, its trigger's hash."""
+def triggers(raw: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, hash, place) for each phrase of a byte array: the starts of its first and last stretch, its trigger."""
     n = len(raw)
     if n < length:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
     m, w = n - k + 1, length - k + 1
     up, down = _power_tables(n)
     sums = np.empty(n + 1, dtype=np.uint64)
@@ -76,33 +82,34 @@ def triggers(raw: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarr
     at = low & ((np.uint64(1) << bits) - np.uint64(1))
     first = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1])
     last = np.concatenate([first[1:], [len(at)]]) - 1
-    return first, last, h[at[first].astype(np.int64)]
+    place = at[first].astype(np.int64)
+    return first, last, h[place], place
 
 
-def phrases(raw: bytes, length: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def phrases(raw: bytes, length: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """:func:`triggers` of a whole text, in blocks; a phrase that a block's end cuts comes in two, which loses nothing."""
     data = np.frombuffer(raw, dtype=np.uint8)
     for at in range(0, max(1, len(data) - length + 1), BLOCK):
-        first, last, h = triggers(data[at : at + BLOCK + length - 1], length, k)
-        yield first + at, last + at, h
+        first, last, h, place = triggers(data[at : at + BLOCK + length - 1], length, k)
+        yield first + at, last + at, h, place + at
 
 
 def parse(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """(t, c, k, lo, hi): trigger hash, phrase hash, the row's key and the phrase's first and last stretch."""
+    """(t, c, k, lo, hi, g): trigger hash, phrase hash, the row's key, the phrase's first and last stretch, the trigger's place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
-        names = ["t", "c", "k", "lo", "hi"]
+        names = ["t", "c", "k", "lo", "hi", "g"]
         for batch in batches:
             held, rows = [], 0
             for key, text in zip(batch.column("_k").to_pylist(), batch.column("text").to_pylist()):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 if len(raw) < length:
                     continue
-                for first, last, h in phrases(raw, length, k):
+                for first, last, h, place in phrases(raw, length, k):
                     c = np.fromiter((xxh3_64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())), dtype=np.uint64, count=len(first))
-                    held.append((h.view(np.int64), c.view(np.int64), np.full(len(first), key), first, last))
+                    held.append((h.view(np.int64), c.view(np.int64), np.full(len(first), key), first, last, place))
                     rows += len(first)
                 if rows > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names)
@@ -110,7 +117,7 @@ def parse(docs: DataFrame, length: int, k: int) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names)
 
-    return docs.select("_k", "text").mapInArrow(run, "t long, c long, k long, lo long, hi long")
+    return docs.select("_k", "text").mapInArrow(run, "t long, c long, k long, lo long, hi long, g long")
 
 
 def suffix_ranks(raw: np.ndarray, part: np.ndarray, length: int) -> np.ndarray:
@@ -134,21 +141,8 @@ def suffix_ranks(raw: np.ndarray, part: np.ndarray, length: int) -> np.ndarray:
     return rank
 
 
-#: Leading bytes of a suffix that decide the task it is ranked in, where a trigger has many phrases.
-LEAD = 32
-
-
-def deal(raw: np.ndarray, starts: int, subs: np.ndarray | int) -> np.ndarray:
-    """Task of each of the first ``starts`` suffixes, by their first LEAD bytes."""
-    padded = np.concatenate([raw, np.zeros(LEAD, dtype=np.uint8)]).astype(np.uint64)
-    h = np.zeros(starts, dtype=np.uint64)
-    for i in range(LEAD):
-        h = h * np.uint64(1099511628211) + padded[i : starts + i] + np.uint64(1)
-    return _mix(h) % np.asarray(subs, dtype=np.uint64)
-
-
-def _repeats(groups: list[pa.Table], length: int) -> Iterator[tuple[int, int, int]]:
-    """(key, first, last): runs of repeated stretches, of phrases that occur once, among the phrases of some groups."""
+def _repeats(groups: list[pa.Table], length: int) -> Iterator[tuple[int, list[int]]]:
+    """(key, [first, end, first, end, ...]): the repeated bytes of each phrase that occurs once, among those of its group."""
     table = pa.concat_tables(groups)
     texts = table.column("bytes").to_pylist()
     sizes = np.array([len(t) for t in texts])
@@ -160,9 +154,6 @@ def _repeats(groups: list[pa.Table], length: int) -> Iterator[tuple[int, int, in
     whole = np.ones(n, dtype=bool)  # suffixes with `length` bytes of their own phrase
     for end in starts[1:]:
         whole[max(0, end - length + 1) : end] = False
-    sub, subs = table.column("sub").to_numpy(), table.column("subs").to_numpy()
-    if (subs > 1).any():
-        whole &= deal(raw, n, np.repeat(subs, sizes)) == np.repeat(sub, sizes).astype(np.uint64)
     used = np.flatnonzero(whole)
     _, inverse, counts = np.unique(rank[used], return_inverse=True, return_counts=True)
     hit = np.zeros(n + 1, dtype=np.int8)
@@ -170,50 +161,92 @@ def _repeats(groups: list[pa.Table], length: int) -> Iterator[tuple[int, int, in
     once = table.column("m").to_numpy() == 1
     keys, los = table.column("k").to_numpy(), table.column("lo").to_numpy()
     edges = np.flatnonzero(np.diff(np.concatenate([[0], hit])))
-    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-        i = int(np.searchsorted(starts, a, side="right")) - 1
+    of = np.searchsorted(starts, edges[::2], side="right") - 1
+    found: dict[int, list[int]] = {}
+    for i, a, b in zip(of.tolist(), edges[::2].tolist(), edges[1::2].tolist()):
         if once[i]:
-            yield int(keys[i]), int(los[i] + a - starts[i]), int(los[i] + b - 1 - starts[i])
+            found.setdefault(i, []).extend((int(los[i] + a - starts[i]), int(los[i] + b - 1 - starts[i]) + length))
+    for i, spans in found.items():
+        yield int(keys[i]), spans
+
 
+def halved(rows: DataFrame, length: int) -> DataFrame:
+    """Each phrase's part in both halves of its stretches: (home, a, b, u, m, k, lo, hi, g, bytes).
 
-def repeated_spans(docs: DataFrame, length: int = 200, k: int = 64, group: int = 256) -> DataFrame:
-    """(k, s, e): byte spans that cover every byte of a ``length``-byte string that starts elsewhere too. ``docs`` has the key ``_k``."""
-    if not LEAD <= k <= length < BLOCK:
-        raise ValueError(f"a trigger's {k} bytes must lie within the {length} bytes of a match, {LEAD} at least")
+    ``rows`` have the range a..b-1 of the bytes between a stretch's start and the trigger, and the phrase's stretches
+    lo..hi within it. ``home`` is the hash of what all stretches of a half share, ``u`` that of the phrase's own part.
+    """
+    middle = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
+    half = F.explode(F.array(F.struct(F.col("a").alias("a"), middle.alias("b")), F.struct(middle.alias("a"), F.col("b").alias("b"))))
+    cut = rows.withColumn("x", half).drop("a", "b").select("*", "x.a", "x.b").drop("x").where("a < b")
+    low, high = F.greatest("lo", F.col("g") - F.col("b") + 1), F.least("hi", F.col("g") - F.col("a"))
+    cut = cut.withColumn("low", low).withColumn("high", high).where("low <= high")
+    own = F.expr(f"substring(bytes, cast(low - lo + 1 as int), cast(high - low + {length} as int))")
+    core = F.expr(f"substring(bytes, cast(g - a - lo + 1 as int), {length} - (b - 1 - a))")
+    # the trigger's place in its part tells apart equal bytes that lie elsewhere in the half
+    return cut.select(F.xxhash64("a", "b", core).alias("home"), "a", "b", F.md5(F.concat(F.encode((F.col("g") - F.col("low")).cast("string"), "utf-8"), F.lit(b":"), own)).alias("u"), "m", "k", F.col("low").alias("lo"), F.col("high").alias("hi"), "g", own.alias("bytes"))
+
+
+def refined(hot: DataFrame, length: int, group: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(spans, small): repeated spans (k, spans) of classes, and homes (home, k, lo, m, bytes) of ``group`` classes at most.
+
+    Each round reads what the last one wrote; rounds end when no home has more classes.
+    """
+    spans, small = [], []
+    while hot.limit(1).count():
+        parts = materialise(halved(hot, length), "halves")
+        drop_table(hot)
+        place = F.min(F.struct("k", "lo", "hi", "g", "bytes")).alias("at")
+        classes = materialise(parts.groupBy("home", "a", "b", "u").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("m"), place), "classes")
+        alike = parts.where("m = 1").join(classes.where("n > 1").select("home", "a", "b", "u"), ["home", "a", "b", "u"])
+        spans.append(materialise(alike.select("k", F.array("lo", F.col("hi") + length).alias("spans")), "alike"))
+        drop_table(parts)
+        homes = materialise(classes.groupBy("home", "a", "b").agg(F.count(F.lit(1)).alias("d")).where("d > 1"), "homes")
+        met = classes.join(homes, ["home", "a", "b"]).select("home", "a", "b", "m", "at.*", "d")
+        small.append(materialise(met.where(F.col("d") <= group).select(F.xxhash64("home", "a", "b").alias("home"), "k", "lo", "m", "bytes"), "small"))
+        hot = materialise(met.where(F.col("d") > group).drop("home", "d"), "hot")
+        drop_table(classes)
+        drop_table(homes)
+    return spans, small
+
+
+def repeated_spans(docs: DataFrame, length: int = 200, k: int = 64, group: int = 1024) -> DataFrame:
+    """(k, spans): byte spans [start, end, ...] that cover every byte of a ``length``-byte string that starts elsewhere too. ``docs`` has the key ``_k``."""
+    if not 8 <= k <= length < BLOCK:
+        raise ValueError(f"a trigger's {k} bytes, eight at least, must lie within the {length} bytes of a match")
     parsed = parse(docs, length, k)
     often = materialise(parsed.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t"), "triggers")
     found = materialise(parsed.join(often, "t"), "phrases")
-    dictionary = materialise(found.groupBy("t", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("k", "lo", "hi")).alias("at")), "dictionary")
-    whole = found.join(dictionary.where("m > 1").select("t", "c"), ["t", "c"]).select("k", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
+    dictionary = materialise(found.groupBy("t", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("k", "lo", "hi", "g")).alias("at")), "dictionary")
+    whole = found.join(dictionary.where("m > 1").select("t", "c"), ["t", "c"]).select("k", F.array("lo", F.col("hi") + length).alias("spans"))
 
     shared = materialise(dictionary.groupBy("t").agg(F.count(F.lit(1)).alias("d")).where("d > 1"), "shared")
-    mixed = dictionary.join(shared, "t").select("t", "m", F.col("at.k").alias("k"), F.struct(F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), "t", "m", F.ceil(F.col("d") / group).cast("int").alias("subs")).alias("p"))
+    mixed = dictionary.join(shared, "t").select("at.k", F.struct("at.lo", "at.hi", "at.g", "t", "m", (F.col("d") > group).alias("hot")).alias("p"))
     wanted = materialise(mixed.groupBy("k").agg(F.collect_list("p").alias("ps")), "wanted")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("t", pa.int64()), ("m", pa.int64()), ("k", pa.int64()), ("lo", pa.int64()), ("subs", pa.int32()), ("sub", pa.int32()), ("bytes", pa.binary())])
+        schema = pa.schema([("t", pa.int64()), ("m", pa.int64()), ("k", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("g", pa.int64()), ("hot", pa.bool_()), ("bytes", pa.binary())])
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, out = batch.slice(at, 256), []
                 for key, text, ps in zip(*(part.column(c).to_pylist() for c in ("_k", "text", "ps"))):
                     raw = (text or "").encode("utf-8", "surrogatepass")
-                    for p in ps:
-                        body, subs = raw[p["lo"] : p["hi"] + length], [0]
-                        if p["subs"] > 1:  # only to the tasks that rank a suffix of it
-                            subs = np.unique(deal(np.frombuffer(body, dtype=np.uint8), p["hi"] - p["lo"] + 1, p["subs"])).tolist()
-                        out += [(p["t"], p["m"], key, p["lo"], p["subs"], sub, body) for sub in subs]
+                    out += [(p["t"], p["m"], key, p["lo"], p["hi"], p["g"], p["hot"], raw[p["lo"] : p["hi"] + length]) for p in ps]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    bodies = docs.select("_k", "text").join(wanted.withColumnRenamed("k", "_k"), "_k").mapInArrow(cut, "t long, m long, k long, lo long, subs int, sub int, bytes binary")
+    bodies = docs.select("_k", "text").join(wanted.withColumnRenamed("k", "_k"), "_k").mapInArrow(cut, "t long, m long, k long, lo long, hi long, g long, hot boolean, bytes binary")
+    bodies = materialise(bodies, "bodies")
+    hot = bodies.where("hot").select(F.lit(0).alias("a"), F.lit(length - k + 1).alias("b"), "m", "k", "lo", "hi", "g", "bytes")
+    spans, small = refined(materialise(hot, "hot"), length, group)
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(groups: list[pa.Table]) -> pa.RecordBatch:
-            rows = list(zip(*_repeats(groups, length))) or [(), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(np.asarray(rows[2], dtype=np.int64) + length)], ["k", "s", "e"])
+            rows = list(zip(*_repeats(groups, length))) or [(), ()]
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.list_(pa.int64()))], ["k", "spans"])
 
         held, size = [], 0
-        for g in sorted_groups(batches, ["t", "sub"]):
+        for g in sorted_groups(batches, ["home"]):
             held.append(g)
             size += g.nbytes
             if size > 1 << 21:
@@ -222,8 +255,9 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 64, group: int =
         if held:
             yield out(held)
 
-    dealt = bodies.withColumn("at", F.xxhash64("t", "sub")).repartition("at").sortWithinPartitions("t", "sub").drop("at")
-    return whole.union(dealt.mapInArrow(rank, "k long, s long, e long"))
+    homes = reduce(DataFrame.union, small, bodies.where("not hot").select(F.col("t").alias("home"), "k", "lo", "m", "bytes"))
+    ranked = homes.repartition("home").sortWithinPartitions("home").mapInArrow(rank, "k long, spans array<long>")
+    return reduce(DataFrame.union, spans, whole.union(ranked))
 
 
 def remove_repeated(docs: DataFrame, length: int = 200, k: int = 64) -> DataFrame:
@@ -235,7 +269,7 @@ def remove_repeated(docs: DataFrame, length: int = 200, k: int = 64) -> DataFram
     """
     docs_k = keyed(docs).select("_k", F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = repeated_spans(docs_k, length, k)
-    by_row = materialise(spans.groupBy("k").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    by_row = materialise(spans.groupBy("k").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -244,7 +278,7 @@ def remove_repeated(docs: DataFrame, length: int = 200, k: int = 64) -> DataFram
                 part, out = batch.slice(at, 256), []
                 for doc_id, text, ss in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
                     raw, merged = (text or "").encode("utf-8", "surrogatepass"), []
-                    for s, e in sorted((x["s"], x["e"]) for x in ss or ()):
+                    for s, e in sorted(zip(ss[::2], ss[1::2])) if ss else ():
                         if merged and s <= merged[-1]["end"]:
                             merged[-1]["end"] = max(merged[-1]["end"], e)
                         else:
