@@ -71,7 +71,7 @@ def test_suffix_dedup_of_a_line_in_very_many_texts(spark, size, monkeypatch):
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.digest(suffix_dedup.remove_repeated(df)).collect()}
     assert got == {i: digest(*x) for i, x in enumerate(brute(texts, 200))}
     # every phrase of the hot triggers goes to a few homes, however many meet it
-    assert seen["hot"] >= 3000 and seen["small"] <= 2 * seen["hot"] and seen["alike"] <= 7 * seen["hot"]
+    assert seen["hot"] >= 2000 and seen["small"] <= 2 * seen["hot"] and seen["alike"] <= 7 * seen["hot"]
 
 
 def test_blocks_do_not_matter(monkeypatch):
