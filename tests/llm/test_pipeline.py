@@ -11,8 +11,9 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
 def test_stages_by_hand(spark):
     import corpus_pipeline as p
 
-    from test_components_simhash import plain_fingerprint, union_find
+    from test_components_simhash import union_find
     from test_models import features
+    from test_similar import alike
     from test_text_dedup import passages_by_hand
     from weftplan.llm import mixing, packing
     from weftplan.llm.common import materialise
@@ -28,9 +29,8 @@ def test_stages_by_hand(spark):
     quality, near, lines, mixed = kept
     passes = {i for i, t in start.items() if features(t)[0] >= 50 and 100 * features(t)[4] <= 50 * features(t)[0]}
     assert set(quality) <= passes and len(quality) > 0.7 * len(passes)  # few labels there
-    fps = {i: int(plain_fingerprint(t), 16) if isinstance(plain_fingerprint(t), str) else plain_fingerprint(t) for i, t in quality.items()}
-    ids = sorted(fps)
-    groups = union_find([(a, b) for k, a in enumerate(ids) for b in ids[k:] if (fps[a] ^ fps[b]).bit_count() <= 2])
+    ids = sorted(quality)
+    groups = union_find([(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if alike(quality[a], quality[b])])
     assert set(near) == {i for i in ids if groups.get(i, i) == i}
     order = sorted(near.items())
     by_hand = {i: words for (i, before), (words, _) in zip(order, passages_by_hand(order)) if words or not before.split()}
