@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from .common import drop_table, materialise
 
+#: Far more than the logarithm of any number of nodes; beyond them an error is raised, never a part of the result given.
+ROUNDS = 200
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links ``a[i]-b[i]`` of one task reduced to one link for each node, to the smallest node of its part."""
@@ -57,7 +60,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return out, (got["n"], got["h"])
 
     was: tuple | None = None
-    for k in range(200):
+    for k in range(ROUNDS):
         new, n = step(edges, True, k)
         drop_table(edges)
         if n[0] == 0:
@@ -68,5 +71,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == was:
             break
         was = now
+    else:
+        raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
