@@ -319,11 +319,97 @@ def test_mixing_hard_rows(spark, hard_docs):
     assert sorted(r.doc_id for r in mixing.apply_copies(two, ["doc_id", "text"]).collect()) == [1, 1]
 
 
+def members_of(spark, shares, times=20):
+    rows = [(i, 10, [int(s * (1 << 20)) for s in p]) for i, p in enumerate(shares * times)]
+    return spark.createDataFrame(rows, "doc_id long, tokens long, p array<long>")
+
+
 def test_projection_keeps_rates_nonnegative(spark):
-    members = spark.createDataFrame([(i, 10, [int(s * (1 << 20)) for s in p]) for i, p in enumerate([(0.9, 0.1, 0.0), (0.5, 0.5, 0.0), (0.1, 0.9, 0.0)] * 20)], "doc_id long, _tokens long, _p array<long>")
-    steps, totals, goal = mixing.fit_rates(members, (1.6, 0.3, 1.0), rounds=60)
-    rates = [r.x for r in members.select(mixing.rate(F.col("_p"), steps).alias("x")).collect()]
-    assert min(rates) == 0.0 and 1 < max(rates) <= mixing.MOST
+    members = members_of(spark, [(0.9, 0.1, 0.0), (0.5, 0.5, 0.0), (0.1, 0.9, 0.0)])
+    found = mixing.fit_rates(members, (1.6, 0.3, 1.0))
+    rates = [r.x for r in members.select(mixing.rate(F.col("p"), found.steps).alias("x")).collect()]
+    assert min(rates) == 0.0 and 1 < max(rates)
     share = np.array([(0.9, 0.1), (0.5, 0.5), (0.1, 0.9)] * 20)
-    best = min(np.square((share * np.array([x, y, z] * 20)[:, None]).sum(0) * 10 - goal[:2]).sum() for x in np.linspace(0, 4, 41) for y in np.linspace(0, 2, 21) for z in (0, 0.05, 0.1))
-    assert np.square(np.array(totals[:2]) - goal[:2]).sum() <= best * 1.05 + 1
+    best = min(np.square((share * np.array([x, y, z] * 20)[:, None]).sum(0) * 10 - found.goals[:2]).sum() for x in np.linspace(0, 4, 41) for y in np.linspace(0, 2, 21) for z in (0, 0.05, 0.1))
+    assert np.square(np.array(found.totals[:2]) - found.goals[:2]).sum() <= best * 1.05 + 1
+
+
+@pytest.mark.parametrize(("kind", "targets", "goals"), [("shares", (6.0, 0.5, 1.0), (1560, 170, 0)), ("totals", (300, 200, 0), (300, 200, 0)), ("weights", (3, 1, 0), (450, 150, 0))])
+def test_targets_of_each_kind_are_met(spark, kind, targets, goals):
+    members = members_of(spark, [(0.8, 0.2, 0.0), (0.5, 0.5, 0.0), (0.0, 1.0, 0.0)])
+    found = mixing.fit_rates(members, targets, kind)
+    rows = members.select("tokens", "p", mixing.rate(F.col("p"), found.steps).alias("x")).collect()
+    by_hand = [sum(r.tokens * r.x * r.p[d] / (1 << 20) for r in rows) for d in range(3)]
+    assert min(r.x for r in rows) >= 0 and np.allclose(found.totals, by_hand)
+    if kind == "shares":  # 6 x 260 clean tokens bring 390 low ones at least
+        assert not found.met and found.totals[1] > 300
+    else:
+        assert found.met and np.allclose(found.goals, goals, atol=1e-2) and np.allclose(by_hand, goals, atol=1e-2)
+
+
+def test_targets_that_make_no_sense(spark):
+    members = members_of(spark, [(1.0, 0.0, 0.0)])
+    for kind, targets in (("shares", (1.0, 1.0)), ("weights", (0, 0, 0)), ("totals", (-1, 0, 0)), ("parts", (1, 1, 1))):
+        with pytest.raises(ValueError):
+            mixing.fit_rates(members, targets, kind)
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(members_of(spark, [(0.9, 0.1, 0.0), (0.5, 0.5, 0.0), (0.1, 0.9, 0.0)]), (1.6, 0.3, 1.0), rounds=1)
+
+
+def test_posteriors_against_brute_force(monkeypatch):
+    """Counts, weights, centres and posteriors by dictionaries, over strings as they are instead of their buckets."""
+    r = random.Random(9)
+    texts = [" ".join(r.choices(["river stone", "BUY now!!", "scum trash é"][d], k=r.randrange(5, 30))) for d in (0, 1, 2) for _ in range(8)] + [None, ""]
+    labels = np.array([0] * 8 + [1] * 8 + [2] * 8 + [0, 1])
+    model = mixing.Classifier(bits=22)
+
+    def strings(text):
+        raw = b" " + (text or "").encode().lower() + b"    "
+        return [raw[i : i + 5] for i in range(len(raw) - 4)]
+
+    buckets = {}
+    for t in texts:
+        for s, b in zip(strings(t), np.concatenate(list(model.buckets(t))).tolist(), strict=True):
+            assert buckets.setdefault(s, b) == b
+    assert len(set(buckets.values())) == len(buckets)  # no two strings share one here
+    counts = np.zeros((3, 1 << 22))
+    for t, d in zip(texts, labels):
+        for at in model.buckets(t):
+            counts[d] += np.bincount(at, minlength=1 << 22)
+    model.weigh(counts)
+    said = [Counter(s for t, d in zip(texts, labels) if d == e for s in strings(t)) for e in range(3)]
+    size = 1 << 22
+
+    def weight(e, s):
+        own = (said[e][s] + 0.5) / (sum(said[e].values()) + 0.5 * size)
+        rest = (sum(c[s] for c in said) - said[e][s] + 1.0) / (sum(sum(c.values()) for c in said) - sum(said[e].values()) + size)
+        return max(0.0, math.log(own) - math.log(rest) - model.floor)
+
+    hand = np.array([[0.0, *(sum(weight(e, s) for s in strings(t)) / len(strings(t)) for e in (1, 2))] for t in texts])
+    got = np.stack([model.evidence(t) for t in texts])
+    assert np.allclose(got, hand)
+    model.place(got, labels)
+    logit = np.zeros_like(hand)
+    for e in (1, 2):
+        own, rest = np.median(hand[labels == e, e]), np.median(hand[labels != e, e])
+        logit[:, e] = model.sharpness * (hand[:, e] - (own + rest) / 2) / ((own - rest) / 2)
+    want = np.exp(np.clip(logit, -30, 30))
+    whole = model.posterior(texts)
+    assert np.allclose(whole, want / want.sum(axis=1, keepdims=True))
+    monkeypatch.setattr(mixing, "BLOCK", 7)
+    assert np.allclose(model.posterior(texts), whole)  # blocks do not matter, nor do neighbours
+    assert np.array_equal(model.posterior(texts[3:4])[0], model.posterior(texts)[3])
+
+
+def test_mixing_ties_and_names(spark):
+    """Repeated ids in either table, and columns with names of the operator's own."""
+    docs = spark.createDataFrame([(i % 20, f"{['river stone', 'BUY now', 'scum trash'][i % 3]} {i % 4}" * 20) for i in range(60)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 1), int(i % 3 == 2)) for i in range(20)] + [(0, 0, 0), (0, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    own = ("_p", "_tokens", "_text", "row", "p", "d", "n", "_k", "_n", "k")
+    clash = docs.select("*", *(F.lit(f"my {c}").alias(c) for c in own))
+    plain = sorted((str(r.doc_id), r.text, r.rate, r.copies) for r in mixing.mix(docs, labels, (1.0, 0.5, 0.5)).collect())
+    out = mixing.mix(clash.repartition(5), labels.repartition(3), (1.0, 0.5, 0.5)).collect()
+    assert sorted((str(r.doc_id), r.text, r.rate, r.copies) for r in out) == plain
+    assert all(r[c] == f"my {c}" for r in out for c in own)
+    many = mixing.apply_copies(clash.withColumn("copies", F.lit(2).cast("long")), clash.columns)
+    assert many.columns == clash.columns and many.count() == 2 * clash.count()
