@@ -51,6 +51,18 @@ class UnknownOutcomeError(ResourceError):
     """A write began and its end is not known; check the target before a retry."""
 
 
+class PartlyWrittenError(ResourceError):
+    """Some outputs were written before another one failed; ``written`` names them."""
+
+    def __init__(self, message: str, written: tuple[str, ...] = ()):
+        super().__init__(message)
+        self.written = written
+
+
+class TimedOutError(WeftError):
+    """The execution ran longer than it was allowed."""
+
+
 class CancelledError(WeftError):
     """The execution's token was cancelled."""
 

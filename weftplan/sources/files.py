@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
 from dataclasses import dataclass, field
 from enum import StrEnum
 from pathlib import Path
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ResourceError, SchemaError, UnknownOutcomeError
-from ..functions.expr import Expr
+from ..functions.expr import Expr, Op
 from ..functions.lowering import column, quoted
 from ..functions.typing import boolean
 from ..schema import Schema
@@ -22,6 +24,10 @@ FORMATS = {"csv": (".csv",), "jsonl": (".jsonl", ".ndjson"), "parquet": (".parqu
 MEDIA = {"text/csv": "csv", "application/csv": "csv", "application/x-ndjson": "jsonl", "application/jsonl": "jsonl", "application/x-jsonlines": "jsonl", "application/vnd.apache.parquet": "parquet", "application/x-parquet": "parquet", "application/vnd.apache.arrow.file": "arrow"}
 
 
+#: Bytes of an Arrow file that may pass through the driver; writing one is held to spark.driver.maxResultSize.
+ARROW_LIMIT = 1 << 30
+
+
 @dataclass(frozen=True)
 class Resource:
     """Where data is: a URI and a media type, never a handle or a secret."""
@@ -130,7 +136,10 @@ def _load(spark: SparkSession, path: str, form: str, schema: Schema | None) -> D
     # Spark has no reader for Arrow files: one file goes through the driver
     import pyarrow as pa
 
-    with pa.memory_map(path.removeprefix("file:")) as f:
+    path = path.removeprefix("file:")
+    if os.path.exists(path) and os.path.getsize(path) > ARROW_LIMIT:
+        raise ResourceError(f"{path!r} has more than {ARROW_LIMIT} bytes, which must not pass through the driver; use Parquet")
+    with pa.memory_map(path) as f:
         return spark.createDataFrame(pa.ipc.open_file(f).read_all())
 
 
@@ -144,21 +153,39 @@ def read(spark: SparkSession, request: ReadRequest, root: Root | None = None) ->
         df = _load(spark, path, form, request.schema)
     except FileNotFoundError as e:
         raise ResourceError(f"{request.resource.uri!r} does not exist") from e
-    schema = Schema.from_spark(df.schema)
+    schema, whole = Schema.from_spark(df.schema), df
+    evidence = {"projection": "not_requested", "predicate": "not_requested", "partition_pruning": "not_requested"}
     for name, value in request.partition_filters:
         schema.field(name)
         df = df.where(F.col(quoted(name)).cast("string") == F.lit(value) if schema.field(name).type.__class__.__name__ != "String" else F.col(quoted(name)) == F.lit(value))
+    if request.partition_filters:
+        used = " ".join(pushdown(df)["PartitionFilters"])
+        evidence["partition_pruning"] = "source" if all(re.search(rf"\b{re.escape(n)}#", used) for n, _ in request.partition_filters) else "post_scan"
     if request.predicate is not None:
         boolean(request.predicate, schema, "a predicate")
+        evidence["predicate"] = "source" if form == "parquet" and all(_pushed(whole, c, schema) for c in _conjuncts(request.predicate)) else "post_scan"
         df = df.where(column(request.predicate, schema))
     if request.columns:
+        left = set(schema.names) - set(request.columns) - ({p.split(".")[0] for p in request.predicate.columns()} if request.predicate is not None else set())
         schema = schema.select(request.columns)
         df = df.select(*(F.col(quoted(c)) for c in request.columns))
-    place = "source" if form == "parquet" else "post_scan"
-    evidence = {"projection": place if request.columns else "not_requested", "predicate": place if request.predicate is not None else "not_requested", "partition_pruning": "source" if request.partition_filters else "not_requested"}
+        seen = " ".join(pushdown(df)["ReadSchema"])
+        evidence["projection"] = "source" if form == "parquet" and not any(re.search(rf"[<,]{re.escape(c)}:", seen) for c in left) else "post_scan"
     return ReadResult(df, schema, evidence)
 
 
+def _conjuncts(e: Expr) -> list[Expr]:
+    return [c for x in e.args for c in _conjuncts(x)] if isinstance(e, Op) and e.op == "and" else [e]
+
+
+def _pushed(df: DataFrame, e: Expr, schema: Schema) -> bool:
+    """Whether the scan itself gets a filter for this condition, or for the partitions it is about."""
+    seen = pushdown(df.where(column(e, schema)))
+    implied = "" if isinstance(e, Op) and e.op == "not_null" else "IsNotNull"  # Spark adds it to any comparison
+    pushed = [f for x in seen["PushedFilters"] for f in re.findall(r"(\w+)\(", x) if f != implied]
+    return bool(pushed or any(x.strip() not in ("", "[]") for x in seen["PartitionFilters"]))
+
+
 def pushdown(df: DataFrame) -> dict[str, list[str]]:
     """What the scans of a DataFrame got, from Spark's own plan: PushedFilters, PartitionFilters and ReadSchema."""
     text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
@@ -172,7 +199,12 @@ def read_file(spark: SparkSession, resource: Resource, schema: Schema, credentia
 
 
 def write_file(spark: SparkSession, resource: Resource, df: DataFrame, mode: WriteMode = WriteMode.CREATE_NEW, retry_safety: RetrySafety = RetrySafety.UNKNOWN, credential: str | None = None, root: Root | None = None) -> WriteResult:
-    """A folder of part files (Arrow: one file, by the driver). A failure after the job began has an unknown outcome."""
+    """A folder of part files (Arrow: one file, by the driver).
+
+    All is written aside first and then put in place by renaming, so a job that fails leaves the target as it was, and a
+    plan may replace a file that it reads. REPLACE keeps the old data until the new is in place. Where renaming itself
+    fails midway, or a job that appends, the outcome is unknown. (In object stores a rename of a folder is no single act.)
+    """
     form, mode = infer_format(resource), WriteMode(mode)
     if credential is not None:
         raise ResourceError("local files take no credential")
@@ -180,36 +212,73 @@ def write_file(spark: SparkSession, resource: Resource, df: DataFrame, mode: Wri
         raise ResourceError(f"{form} cannot be appended to")
     if mode == WriteMode.APPEND and retry_safety == RetrySafety.SAFE:
         raise ResourceError("an append is not safe to retry")
-    path = root.resolve(resource) if root else resource.uri
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if mode in (WriteMode.CREATE_NEW, WriteMode.FAIL_IF_EXISTS) and fs.exists(hadoop):
+    path = (root.resolve(resource) if root else resource.uri).rstrip("/")
+    files = _Files(spark, path)
+    if mode in (WriteMode.CREATE_NEW, WriteMode.FAIL_IF_EXISTS) and files.exists(path):
         raise ResourceError(f"{resource.uri!r} exists")
-    how = {WriteMode.REPLACE: "overwrite", WriteMode.APPEND: "append"}.get(mode, "errorifexists")
+    if mode == WriteMode.APPEND:
+        try:
+            _save(df, form, path, "append")
+        except Exception as e:
+            raise UnknownOutcomeError(f"appending to {resource.uri!r} failed midway: {str(e).splitlines()[0]}") from e
+        return WriteResult(resource.uri, form, mode)
+    folder, _, name = path.rpartition("/")
+    aside, old = (f"{folder}/" * bool(_) + f"_{name}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
     try:
-        if form == "arrow":
-            _write_arrow(df, path.removeprefix("file:"))
-        elif form == "csv":
-            df.write.mode(how).option("header", True).csv(path)
-        elif form == "jsonl":
-            df.write.mode(how).option("ignoreNullFields", False).json(path)
-        else:
-            df.write.mode(how).parquet(path)
+        _save(df, form, aside, "errorifexists")
     except SchemaError:
         raise
     except Exception as e:
-        if fs.exists(hadoop):
-            raise UnknownOutcomeError(f"writing {resource.uri!r} failed midway: {str(e).splitlines()[0]}") from e
-        raise ResourceError(f"writing {resource.uri!r} failed: {str(e).splitlines()[0]}") from e
+        files.drop(aside)
+        raise ResourceError(f"writing {resource.uri!r} failed, nothing changed: {str(e).splitlines()[0]}") from e
+    if mode != WriteMode.REPLACE and files.exists(path):
+        files.drop(aside)
+        raise ResourceError(f"{resource.uri!r} exists meanwhile")
+    try:
+        had = files.exists(path)
+        if had:
+            files.move(path, old)
+        try:
+            files.move(aside, path)
+        except Exception:
+            if had:
+                files.move(old, path)
+            raise
+    except Exception as e:
+        raise UnknownOutcomeError(f"{resource.uri!r} was written to {aside!r}, but not put in place: {str(e).splitlines()[0]}") from e
+    if had:
+        files.drop(old)
     return WriteResult(resource.uri, form, mode)
 
 
-def _write_arrow(df: DataFrame, path: str) -> None:
-    import os
+class _Files:
+    """Existence, renaming and removal in a path's Hadoop file system."""
 
-    import pyarrow as pa
+    def __init__(self, spark: SparkSession, path: str):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
+    def move(self, a: str, b: str) -> None:
+        if not self._fs.rename(self._path(a), self._path(b)):
+            raise OSError(f"{a!r} cannot be renamed to {b!r}")
+
+    def drop(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
+
+def _save(df: DataFrame, form: str, path: str, how: str) -> None:
+    if form == "arrow":
+        import pyarrow as pa
 
-    table = df.toArrow()
-    with pa.OSFile(f"{path}.tmp", "wb") as f, pa.ipc.new_file(f, table.schema) as w:
-        w.write_table(table)
-    os.replace(f"{path}.tmp", path)
+        table = df.toArrow()
+        with pa.OSFile(path.removeprefix("file://").removeprefix("file:"), "wb") as f, pa.ipc.new_file(f, table.schema) as w:
+            w.write_table(table)
+    elif form == "csv":
+        df.write.mode(how).option("header", True).csv(path)
+    elif form == "jsonl":
+        df.write.mode(how).option("ignoreNullFields", False).json(path)
+    else:
+        df.write.mode(how).parquet(path)
