@@ -108,3 +108,12 @@ def test_parts_and_time(spark, run):
     assert rows(run(build, x=df)) == [(2023, 2, 29, 7, 8, 58, 9)]
     assert t.Time() == t.from_spark(df.schema["c"].dataType)
     assert lit("x") is not None
+
+
+def test_whole_table_aggregates_need_no_single_task(spark, run):
+    df = spark.createDataFrame([(1, 2.0), (2, None), (3, 4.5)], "id long, v double")
+    for make, want in ((lambda: w.mean(col("v")).over(w.WindowSpec()), 3.25), (lambda: w.count(col("v")).over(w.order_by("id")), 2), (lambda: w.max_(col("id")).over(w.WindowSpec()), 3)):
+        out = run(lambda b, x, make=make: b.derive("d", x, "x", make()), t=df)
+        assert {r.x for r in out.collect()} == {want} and "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    empty = run(lambda b, x: b.derive("d", x, "x", w.count().over(w.WindowSpec())), t=df.limit(0))
+    assert empty.count() == 0 and not empty.schema["x"].nullable

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import timezone
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -158,9 +158,20 @@ def over(e: Over, schema: Schema, tiebreak: tuple[Column, ...] = ()) -> Column:
         w = (w.rowsBetween if e.spec.frame.unit == "rows" else w.rangeBetween)(edge(e.spec.frame.start), edge(e.spec.frame.end))
     elif keys:  # no frame: the whole partition, ordered or not
         w = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return conform(folded(e, schema).over(w), t)
+
+
+def folded(e: Over, schema: Schema) -> Column:
+    """The aggregate of a window aggregate."""
     x = F.lit(1) if not e.args else column(e.args[0], schema)
     f = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max, "mean": F.avg}[e.name]
-    return conform(f(x.cast("double") if e.name == "mean" else x).over(w), t)
+    return f(x.cast("double") if e.name == "mean" else x)
+
+
+def of_all_rows(e: Over, schema: Schema, df: DataFrame) -> Column:
+    """A window aggregate over the whole table as a subquery of one row: partial aggregates instead of one task for all rows."""
+    whole = df.select(folded(e, schema).alias("x")).scalar()
+    return conform(F.coalesce(whole, F.lit(0)) if e.name == "count" else whole, typed(e, schema, window=True)[0])
 
 
-__all__ = ["aggregate", "column", "conform", "division", "literal", "order_column", "over", "quoted", "ref"]
+__all__ = ["aggregate", "column", "conform", "division", "literal", "of_all_rows", "order_column", "over", "quoted", "ref"]

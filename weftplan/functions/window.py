@@ -145,6 +145,12 @@ class Over(Expr):
         """Whether rows with equal order keys can be told apart in its result."""
         return self.name in ("row_number", *OFFSET) or self.spec.frame is not None and self.spec.frame.unit == "rows"
 
+    @property
+    def whole_table(self) -> bool:
+        """Whether it is one value for all rows: an aggregate of the one partition, ordered or not."""
+        f = self.spec.frame
+        return self.name in AGGREGATES and not self.spec.partition and (f is None or bool(f.start.unbounded and f.end.unbounded))
+
 
 @dataclass(frozen=True)
 class Unbound:

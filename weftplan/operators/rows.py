@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..errors import PlanError, SchemaError
 from ..functions.expr import Expr, describe
-from ..functions.lowering import column, conform, order_column, quoted
+from ..functions.lowering import column, conform, of_all_rows, order_column, quoted
 from ..functions.typing import boolean, typed
 from ..functions.window import Key, Over
 from ..schema import Field, Schema
@@ -243,7 +243,11 @@ class Derive(Operator):
     def lower(self, out: Schema, frame: Frame) -> Frame:
         if self.needs_order:
             frame = frame.ordered()
-        made = column(self.expression, frame.schema, tuple(order_column(k) for k in frame.order)).alias(self.field)
+        e = self.expression
+        if isinstance(e, Over) and e.whole_table:
+            made = of_all_rows(e, frame.schema, frame.df).alias(self.field)
+        else:
+            made = column(e, frame.schema, tuple(order_column(k) for k in frame.order)).alias(self.field)
         frame = frame.with_columns([made if n == self.field else F.col(quoted(n)) for n in out.names], out)
         return replace(frame, settled=frame.settled and not isinstance(self.expression, Over))
 

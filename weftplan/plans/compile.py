@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from ..errors import PlanError, SchemaError
 from ..functions.lowering import quoted
@@ -80,6 +81,18 @@ def order_needed(plan: LogicalPlan) -> set[str]:
     return out
 
 
+def loose(t: S.DataType) -> S.DataType:
+    """A Spark type with all that it holds nullable."""
+    match t:
+        case S.StructType():
+            return S.StructType([S.StructField(f.name, loose(f.dataType), True, f.metadata) for f in t.fields])
+        case S.ArrayType():
+            return S.ArrayType(loose(t.elementType), True)
+        case S.MapType():
+            return S.MapType(loose(t.keyType), loose(t.valueType), True)
+    return t
+
+
 def bind(df: DataFrame, schema: Schema, name: str) -> DataFrame:
     """``df`` with the declared schema: columns by name, types widened where that is safe. Drift is an error."""
     want = schema.to_spark()
@@ -88,9 +101,8 @@ def bind(df: DataFrame, schema: Schema, name: str) -> DataFrame:
         raise SchemaError(f"input {name!r} has no column {missing[0]!r}")
     if [(f.name, f.dataType) for f in df.schema.fields] == [(f.name, f.dataType) for f in want.fields]:
         return df
-    if df.isStreaming or any(have[f.name].nullable and not f.nullable for f in want.fields):
-        # a declared non-null column is trusted, as Spark's own readers call every column nullable
-        want = type(want)([type(f)(f.name, f.dataType, True, f.metadata) for f in want.fields])
+    if df.isStreaming or any(have[f.name].nullable and not f.nullable or have[f.name].dataType != f.dataType for f in want.fields):
+        want = loose(want)  # a declared non-null column or member is trusted, as Spark's own readers call all nullable
     try:
         return df.select(*(F.col(quoted(f.name)) for f in want.fields)).to(want)
     except Exception as e:

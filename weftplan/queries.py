@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +16,10 @@ from .functions import col, lit
 from .functions import window as w
 from .operators import CastPolicy, NullMatch, SortKey
 from .plans import Optimizer, PlanBuilder, analyse
-from .runtime import Runtime
+from .errors import QualityGateError
+from .runtime import OutputBinding, Runtime
 from .schema import Schema
-from .sources import ReadRequest, Resource, read
+from .sources import ReadRequest, Resource, WriteMode, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -57,7 +60,9 @@ class Draft:
         return self.b.build()
 
     def run(self, dataset) -> DataFrame:  # noqa: ANN001
-        return Runtime(self.spark).execute(self.plan(dataset), self.bound).output()
+        result = Runtime(self.spark).execute(self.plan(dataset), self.bound)
+        result.close()
+        return result.output()
 
 
 def query(sql: str | None = None):  # noqa: ANN201
@@ -139,10 +144,9 @@ def limit_by_order_key(d):  # noqa: ANN001, ANN201
     return d.run(d.limit(d.table("orders", "o_orderkey", order_key=("o_orderkey",)), 10))
 
 
-@query(f"SELECT o_orderkey, n FROM {ORDERS_N} ORDER BY n DESC NULLS FIRST, o_orderkey LIMIT 50")
+@query(f"SELECT o_orderkey, n FROM {ORDERS_N} ORDER BY n DESC NULLS FIRST, o_orderkey")
 def sort_nulls_first(d):  # noqa: ANN001, ANN201
-    x = d.sort(with_nulls(d), [SortKey("n", True, True), SortKey("o_orderkey")])
-    return d.run(d.select(d.limit(x, 50), ["o_orderkey", "n"]))
+    return d.run(d.select(d.sort(with_nulls(d), [SortKey("n", True, True), SortKey("o_orderkey")]), ["o_orderkey", "n"]))
 
 
 @query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
@@ -196,13 +200,14 @@ def arithmetic(d):  # noqa: ANN001, ANN201
     return d.run(d.select(x, ["p_partkey", "a", "b", "c", "e"]))
 
 
-@query("SELECT p_partkey, CAST(p_size AS DOUBLE) / p_partkey AS a, CASE WHEN p_size - p_size = 0 THEN 'inf' END AS b FROM part")
+@query("SELECT p_partkey, CAST(p_size AS DOUBLE) / p_partkey AS a, 'Infinity' AS more, '-Infinity' AS less, 'NaN' AS none FROM part")
 def division_by_zero(d):  # noqa: ANN001, ANN201
-    x = d.derive(d.table("part", "p_partkey", "p_size"), "a", col("p_size") / col("p_partkey"))
-    x = d.derive(x, "inf", col("p_size") / (col("p_size") - col("p_size")))
-    x = d.cast(d.filter(x, col("inf") > 1e300), "inf", t.STRING)
-    x = d.derive(x, "b", lit("inf"))
-    return d.run(d.select(x, ["p_partkey", "a", "b"]))
+    x, zero = d.table("part", "p_partkey", "p_size"), col("p_size") - col("p_size")
+    for name, e in (("a", col("p_size") / col("p_partkey")), ("more", col("p_size") / zero), ("less", -col("p_size") / zero), ("none", zero / zero)):
+        x = d.derive(x, name, e)
+    for name in ("more", "less", "none"):
+        x = d.cast(x, name, t.STRING)
+    return d.run(d.drop(x, ["p_size"]))
 
 
 @query("SELECT p_partkey, CAST(5 AS BIGINT) AS five, TRUE AS yes, 'x' AS x, CAST(1.50 AS DECIMAL(3,2)) AS dec FROM part")
@@ -252,21 +257,20 @@ def join_cross(d):  # noqa: ANN001, ANN201
 
 
 def null_sides(d):  # noqa: ANN001, ANN201
-    few = d.filter(with_nulls(d), col("o_orderkey") <= 60)
-    few = d.select(few, ["o_orderkey", "n"])
-    other = d.rename(d.select(d.filter(with_nulls(d), col("o_orderkey") > 60), ["o_orderkey", "n"]), {"o_orderkey": "other"})
-    return few, d.filter(other, col("other") <= 120)
+    """All orders, a third of them with a NULL key, and a row for each key, the NULL one included."""
+    left = d.select(with_nulls(d), ["o_orderkey", "n"])
+    return left, d.aggregate(with_nulls(d), ["n"], {"m": fn.count(), "least": fn.min_(col("o_orderkey"))})
 
 
-A60, B60 = f"(SELECT o_orderkey, n FROM {ORDERS_N} WHERE o_orderkey <= 60)", f"(SELECT o_orderkey AS other, n FROM {ORDERS_N} WHERE o_orderkey > 60 AND o_orderkey <= 120)"
+PER_N = f"(SELECT n, count(*) AS m, min(o_orderkey) AS least FROM {ORDERS_N} GROUP BY n)"
 
 
-@query(f"SELECT o_orderkey, a.n, other FROM {A60} a JOIN {B60} b ON a.n IS NOT DISTINCT FROM b.n")
+@query(f"SELECT o_orderkey, a.n, m, least FROM {ORDERS_N} a JOIN {PER_N} b ON a.n IS NOT DISTINCT FROM b.n")
 def join_null_match(d):  # noqa: ANN001, ANN201
     return d.run(d.join(*null_sides(d), "inner", ["n"], NullMatch.MATCH))
 
 
-@query(f"SELECT o_orderkey, a.n, other FROM {A60} a LEFT JOIN {B60} b ON a.n = b.n")
+@query(f"SELECT o_orderkey, a.n, m, least FROM {ORDERS_N} a LEFT JOIN {PER_N} b ON a.n = b.n")
 def join_null_never(d):  # noqa: ANN001, ANN201
     return d.run(d.join(*null_sides(d), "left", ["n"], NullMatch.NEVER_MATCH))
 
@@ -375,6 +379,7 @@ windowed("win_lag_column_default", f"lag(o_orderkey, 1, o_custkey) OVER ({W_KEY}
 windowed("win_lead", f"lead(o_orderkey) OVER ({W_KEY})", lambda: w.lead(KEY).over(BY_KEY))
 windowed("win_full", "CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey) AS BIGINT)", lambda: w.sum_(KEY).over(w.partition_by("o_custkey")))
 windowed("win_global", "count(*) OVER ()", lambda: w.count().over(w.WindowSpec()))
+windowed("win_global_sum", "CAST(sum(o_custkey) OVER () AS BIGINT)", lambda: w.sum_(col("o_custkey")).over(w.order_by("o_orderkey")))
 windowed("win_ordered_no_frame", f"CAST(sum(o_orderkey) OVER ({W_KEY} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS BIGINT)", lambda: w.sum_(KEY).over(BY_KEY))
 windowed("win_cumulative", f"CAST(sum(o_orderkey) OVER ({W_KEY} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)", lambda: w.sum_(KEY).over(BY_KEY.rows_between(w.UNBOUNDED_PRECEDING, w.CURRENT_ROW)))
 windowed("win_moving", f"min(o_orderkey) OVER ({W_KEY} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)", lambda: w.min_(KEY).over(BY_KEY.rows_between(w.preceding(2), w.CURRENT_ROW)))
@@ -405,10 +410,11 @@ def unpivot(d):  # noqa: ANN001, ANN201
     return d.run(d.unpivot(with_nulls(d), ["o_orderkey"], ["o_custkey", "n"]))
 
 
-@query("SELECT vec_id, unnest(embedding) AS embedding FROM embeddings WHERE vec_id < 200 UNION ALL SELECT vec_id, NULL FROM embeddings WHERE vec_id >= 200")
+@query("SELECT vec_id, unnest(embedding) AS embedding FROM embeddings UNION ALL SELECT * FROM (VALUES (-1, NULL), (-2, NULL))")
 def explode_list(d):  # noqa: ANN001, ANN201
-    e = load(d.spark, d.sf, "embeddings").select("vec_id", F.when(F.col("vec_id") < 200, F.col("embedding")).when(F.col("vec_id") < 300, F.array().cast("array<float>")).alias("embedding"))
-    return d.run(d.explode(d.frame("embeddings", e), "embedding"))
+    e = load(d.spark, d.sf, "embeddings").select("vec_id", "embedding")
+    odd = d.spark.createDataFrame([(-1, []), (-2, None)], e.schema)  # no table has an empty or a missing list
+    return d.run(d.explode(d.frame("embeddings", e.union(odd)), "embedding"))
 
 
 def events(d):  # noqa: ANN001, ANN201
@@ -541,8 +547,166 @@ def resource_binding(d):  # noqa: ANN001, ANN201
     return Runtime(d.spark).execute(d.plan(x), [InputBinding.from_resource(name, Resource(f"{d.sf}/orders.parquet"))]).output()
 
 
-@query()
+@query("""SELECT * FROM (VALUES
+  ('aggregate_2', 'first', 'join_4', 'first', 'direct'),
+  ('aggregate_2', 'n', 'join_4', 'n', 'direct'),
+  ('customer_3', 'c_acctbal', 'join_4', 'c_acctbal', 'direct'),
+  ('customer_3', 'c_custkey', 'join_4', 'c_custkey', 'direct'),
+  ('customer_3', 'c_mktsegment', 'join_4', 'c_mktsegment', 'direct'),
+  ('customer_3', 'c_name', 'join_4', 'c_name', 'direct'),
+  ('customer_3', 'c_nationkey', 'join_4', 'c_nationkey', 'direct'),
+  ('join_4', 'c_acctbal', 'output:out0', 'c_acctbal', 'direct'),
+  ('join_4', 'c_custkey', 'output:out0', 'c_custkey', 'direct'),
+  ('join_4', 'c_mktsegment', 'output:out0', 'c_mktsegment', 'direct'),
+  ('join_4', 'c_name', 'output:out0', 'c_name', 'direct'),
+  ('join_4', 'c_nationkey', 'output:out0', 'c_nationkey', 'direct'),
+  ('join_4', 'first', 'output:out0', 'first', 'direct'),
+  ('join_4', 'n', 'output:out0', 'n', 'direct'),
+  ('orders_1', 'o_custkey', 'aggregate_2', 'o_custkey', 'direct'),
+  ('orders_1', 'o_orderdate', 'aggregate_2', 'first', 'aggregated')
+) AS edges(source, source_field, target, target_field, kind)""")
 def lineage_edges(d):  # noqa: ANN001, ANN201
     per = d.aggregate(d.table("orders"), ["o_custkey"], {"n": fn.count(), "first": fn.min_(col("o_orderdate"))})
     got = analyse(d.plan(d.join(d.table("customer"), per, "left", [("c_custkey", "o_custkey")])))
     return d.spark.createDataFrame([(e.source.step, e.source.field, e.target.step, e.target.field, str(e.kind)) for e in got.edges], "source string, source_field string, target string, target_field string, kind string")
+
+
+def scratch(d, name: str) -> str:  # noqa: ANN001
+    """A fresh place in the folder that all executors share (where none is named, and the master is local: a temporary one)."""
+    base = d.spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not d.spark.sparkContext.master.startswith("local") or "-cluster" in d.spark.sparkContext.master:
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="weftplan-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}/{name}"
+
+
+def through(d, dataset, name: str, times=(WriteMode.CREATE_NEW,)) -> DataFrame:  # noqa: ANN001
+    """``dataset`` written once for each mode, and what is read back under its schema."""
+    target, plan = Resource(scratch(d, name)), d.plan(dataset)
+    for mode in times:
+        Runtime(d.spark).execute(plan, d.bound, [OutputBinding.to_resource("out0", target, mode)])
+    b = PlanBuilder("back")
+    b.output("out", b.input("in", dataset.schema))
+    return Runtime(d.spark).execute(b.build(), {"in": target}).output()
+
+
+SOME_ORDERS = "SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, o_orderpriority FROM orders"
+ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+@query(SOME_ORDERS)
+def sink_csv(d):  # noqa: ANN001, ANN201
+    return through(d, d.table("orders", *ORDER_COLUMNS), "o.csv")
+
+
+@query("SELECT event_id, ts, value, event_type FROM events")
+def sink_jsonl(d):  # noqa: ANN001, ANN201
+    return through(d, events(d), "e.jsonl").select("event_id", "e.ts", "e.what.*")
+
+
+@query("SELECT * FROM part")
+def sink_parquet(d):  # noqa: ANN001, ANN201
+    return through(d, d.table("part"), "p.parquet")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def sink_arrow(d):  # noqa: ANN001, ANN201
+    return through(d, d.table("nation"), "n.arrow")  # one file, by the driver, so a small table
+
+
+@query(f"{SOME_ORDERS} UNION ALL {SOME_ORDERS}")
+def sink_append(d):  # noqa: ANN001, ANN201
+    return through(d, d.table("orders", *ORDER_COLUMNS), "o.csv", (WriteMode.CREATE_NEW, WriteMode.APPEND))
+
+
+@query("SELECT o_orderkey + 2 AS o_orderkey, o_custkey FROM orders")
+def sink_replace_own_input(d):  # noqa: ANN001, ANN201
+    target = Resource(scratch(d, "o.parquet"))
+    Runtime(d.spark).execute(d.plan(d.table("orders", "o_orderkey", "o_custkey")), d.bound, [OutputBinding.to_resource("out0", target)])
+    b = PlanBuilder("more")
+    x = b.input("in", Schema.of(("o_orderkey", t.INT64), ("o_custkey", t.INT64)))
+    b.output("out", b.derive("add", x, "o_orderkey", col("o_orderkey") + 1, replace_existing=True))
+    for _ in range(2):
+        Runtime(d.spark).execute(b.build(), {"in": target}, [OutputBinding.to_resource("out", target, WriteMode.REPLACE)])
+    return read(d.spark, ReadRequest(target)).df
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 1000")
+def partition_filters(d):  # noqa: ANN001, ANN201
+    path = scratch(d, "o.parquet")
+    load(d.spark, d.sf, "orders").write.partitionBy("o_orderstatus").parquet(path)
+    got = read(d.spark, ReadRequest(Resource(path), columns=("o_orderkey", "o_totalprice"), predicate=col("o_totalprice") > 1000.0, partition_filters=(("o_orderstatus", "F"),)))
+    if set(got.evidence.values()) != {"source"}:
+        raise AssertionError(got.evidence)
+    return got.df
+
+
+def bound_as(d, make) -> DataFrame:  # noqa: ANN001
+    """A plan over the nations, bound as another library's table: a small one, which passes the driver."""
+    x = d.table("nation")
+    (name,) = d.bound
+    return Runtime(d.spark).execute(d.plan(d.filter(x, col("n_regionkey") > lit(0, t.INT32))), {name: make(d.bound[name])}).output()
+
+
+@query("SELECT * FROM nation WHERE n_regionkey > 0")
+def bind_arrow(d):  # noqa: ANN001, ANN201
+    return bound_as(d, lambda df: df.toArrow())
+
+
+@query("SELECT * FROM nation WHERE n_regionkey > 0")
+def bind_pandas(d):  # noqa: ANN001, ANN201
+    return bound_as(d, lambda df: df.toPandas())
+
+
+def evidence(d, gates) -> DataFrame:  # noqa: ANN001
+    return d.spark.createDataFrame([(r.rule, r.violations, r.evaluated) for g in gates for r in g.rules], "rule string, violations long, evaluated long")
+
+
+@query("SELECT * FROM (VALUES ('exact', CAST(0 AS BIGINT), CAST(1 AS BIGINT)), ('subset', 0, 1), ('other', 1, 1)) AS e(rule, violations, evaluated)")
+def gate_schema(d):  # noqa: ANN001, ANN201
+    x = d.table("part", "p_partkey", "p_name")
+    other = Schema.of(("p_partkey", t.STRING))
+    spec = q.ValidationSpec((q.schema(x.schema, name="exact"), q.schema(x.schema.select(["p_name"]), exact=False, name="subset"), q.schema(other, exact=False, name="other")), q.Policy.WARN_ONLY)
+    return evidence(d, Runtime(d.spark).execute(d.plan(d.validate(x, spec)), d.bound).gates)
+
+
+@query(f"SELECT 'present' AS rule, count(*) FILTER (WHERE o_orderkey IS NULL) AS violations, count(*) AS evaluated FROM orders UNION ALL SELECT 'n', count(*) FILTER (WHERE n IS NULL), count(*) FROM {ORDERS_N}")
+def gate_fail_fast(d):  # noqa: ANN001, ANN201
+    rules = (q.not_null("o_orderkey", name="present"), q.not_null("n", name="n"), q.range_("n", 0, 50, name="never reached"))
+    x = d.validate(with_nulls(d), q.ValidationSpec(rules, q.Policy.FAIL_FAST))
+    try:
+        Runtime(d.spark).execute(d.plan(x), d.bound)
+    except QualityGateError as e:
+        return evidence(d, [e.result])
+    raise AssertionError("the gate holds")
+
+
+@query(f"SELECT o_orderkey, n FROM {ORDERS_N}")
+def gate_ignore(d):  # noqa: ANN001, ANN201
+    return d.run(d.select(d.validate(with_nulls(d), q.ValidationSpec((q.not_null("n"),), q.Policy.IGNORE)), ["o_orderkey", "n"]))
+
+
+@query("SELECT 'rate_low' AS rule, count(*) FILTER (WHERE n IS NULL) AS violations, count(*) AS evaluated, FALSE AS passed FROM {0} UNION ALL SELECT 'rate_high', count(*) FILTER (WHERE n IS NULL), count(*), TRUE FROM {0}".format(ORDERS_N))
+def gate_rates(d):  # noqa: ANN001, ANN201
+    rules = (q.not_null("n", max_violations=None, max_violation_rate=0.1, name="rate_low"), q.not_null("n", max_violations=None, max_violation_rate=0.5, name="rate_high"))
+    got = Runtime(d.spark).execute(d.plan(d.validate(with_nulls(d), q.ValidationSpec(rules, q.Policy.WARN_ONLY))), d.bound)
+    return d.spark.createDataFrame([(r.rule, r.violations, r.evaluated, r.passed) for g in got.gates for r in g.rules], "rule string, violations long, evaluated long, passed boolean")
+
+
+@query("SELECT event_id, value * 2 AS twice, upper(event_type) AS kind FROM events WHERE value > 10")
+def stream_steps(d):  # noqa: ANN001, ANN201
+    """The same steps over a stream of files, into files."""
+    from . import streaming
+
+    source, out = scratch(d, "in"), scratch(d, "out")
+    load(d.spark, d.sf, "events").select("event_id", "event_type", "value").write.parquet(source)
+    schema = Schema.of(("event_id", t.INT64), ("event_type", t.STRING), ("value", t.FLOAT64))
+    b = PlanBuilder("stream")
+    x = b.filter("some", b.input("events", schema), col("value") > 10.0)
+    x = b.derive("kind", b.derive("twice", x, "twice", col("value") * 2.0), "kind", fn.upper(col("event_type")))
+    b.output("out", b.select("columns", x, ["event_id", "twice", "kind"]))
+    q_ = streaming.start(b.build(), {"events": streaming.read_stream(d.spark, source, schema)}, "out", "parquet", scratch(d, "checkpoint"), path=out)
+    q_.processAllAvailable()
+    q_.stop()
+    return d.spark.read.parquet(out)

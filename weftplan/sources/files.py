@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 import uuid
 from dataclasses import dataclass, field
@@ -24,6 +23,8 @@ FORMATS = {"csv": (".csv",), "jsonl": (".jsonl", ".ndjson"), "parquet": (".parqu
 MEDIA = {"text/csv": "csv", "application/csv": "csv", "application/x-ndjson": "jsonl", "application/jsonl": "jsonl", "application/x-jsonlines": "jsonl", "application/vnd.apache.parquet": "parquet", "application/x-parquet": "parquet", "application/vnd.apache.arrow.file": "arrow"}
 
 
+#: Times in text files, with all their microseconds.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"}
 #: Bytes of an Arrow file that may pass through the driver; writing one is held to spark.driver.maxResultSize.
 ARROW_LIMIT = 1 << 30
 
@@ -123,7 +124,7 @@ class ReadResult:
 
 
 def _load(spark: SparkSession, path: str, form: str, schema: Schema | None) -> DataFrame:
-    reader = spark.read
+    reader = spark.read.options(**TIMES) if form in ("csv", "jsonl") else spark.read
     if schema is not None and form != "arrow":
         reader = reader.schema(schema.to_spark())
     match form:
@@ -136,13 +137,20 @@ def _load(spark: SparkSession, path: str, form: str, schema: Schema | None) -> D
     # Spark has no reader for Arrow files: one file goes through the driver
     import pyarrow as pa
 
-    path = path.removeprefix("file:")
-    if os.path.exists(path) and os.path.getsize(path) > ARROW_LIMIT:
-        raise ResourceError(f"{path!r} has more than {ARROW_LIMIT} bytes, which must not pass through the driver; use Parquet")
-    with pa.memory_map(path) as f:
+    system, place = _arrow_files(path)
+    if (size := system.get_file_info(place).size or 0) > ARROW_LIMIT:
+        raise ResourceError(f"{path!r} has {size} bytes; more than {ARROW_LIMIT} must not pass through the driver, use Parquet")
+    with system.open_input_file(place) as f:
         return spark.createDataFrame(pa.ipc.open_file(f).read_all())
 
 
+def _arrow_files(path: str):  # noqa: ANN202
+    """(file system, path) of an Arrow file, for the driver."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
 def read(spark: SparkSession, request: ReadRequest, root: Root | None = None) -> ReadResult:
     """A lazy DataFrame; Catalyst pushes columns and predicates into the scan where the format can take them."""
     form = infer_format(request.resource)
@@ -274,11 +282,13 @@ def _save(df: DataFrame, form: str, path: str, how: str) -> None:
         import pyarrow as pa
 
         table = df.toArrow()
-        with pa.OSFile(path.removeprefix("file://").removeprefix("file:"), "wb") as f, pa.ipc.new_file(f, table.schema) as w:
+        system, place = _arrow_files(path)
+        system.create_dir(place.rpartition("/")[0] or ".", recursive=True)
+        with system.open_output_stream(place) as f, pa.ipc.new_file(f, table.schema) as w:
             w.write_table(table)
     elif form == "csv":
-        df.write.mode(how).option("header", True).csv(path)
+        df.write.mode(how).options(**TIMES).option("header", True).csv(path)
     elif form == "jsonl":
-        df.write.mode(how).option("ignoreNullFields", False).json(path)
+        df.write.mode(how).options(**TIMES).option("ignoreNullFields", False).json(path)
     else:
         df.write.mode(how).parquet(path)
