@@ -92,6 +92,17 @@ def test_quality_hard_rows(spark, hard_docs):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_quality_names_of_its_own(spark, hard_docs):
+    """Columns with names that the operator uses inside come through; those that it adds are replaced."""
+    inner = ("_w", "_total", "_row", "bucket", "part", "raw", "x")
+    clash = hard_docs.select("*", *(F.lit(f"my {c}").alias(c) for c in inner), F.lit("old").alias("kept"))
+    model = quality_rules.Model((1,) * 16, 0)
+    out = quality_rules.judge(clash, model)
+    assert set(out.columns) == set(clash.columns) | set(quality_rules.JUDGED) and len(out.columns) == len(set(out.columns))
+    assert {tuple(r[c] for c in inner) for r in out.collect()} == {tuple(f"my {c}" for c in inner)} and {r.kept for r in out.collect()} <= {True, False}
+    assert quality_rules.judge(hard_docs.select("text"), model).count() == hard_docs.count()
+
+
 def embeddings(seed):
     r = np.random.default_rng(seed)
     base = r.normal(size=(20, 8))
@@ -133,6 +144,13 @@ def test_embeddings_bounds_save_work_and_lose_nothing():
     assert got == set(zip(*map(list, np.nonzero(u @ u.T >= 0.98)))) and stats["recomputed"] < 0.05 * stats["pairs"]
 
 
+def test_embeddings_of_extreme_size(spark):
+    """Lengths whose squares leave the range of doubles."""
+    rows = [(1, [3e200, 4e200], 0), (2, [3.0, 4.0], 0), (3, [3e-200, 4e-200], 0), (4, [3e-320, 4e-320], 0), (5, [4.0, -3.0], 0), (6, [1.7e308, 1.7e308], 1), (7, [5e-324, 5e-324], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5), 6: (1, 6), 7: (1, 6)}
+
+
 def test_embeddings_repeated_ids_and_empty(spark):
     rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (1, [1.0, 0.0], 0), (None, [1.0, 0.0], 0), (2, [0.0, 1.0], 0), (3, [0.0, -1.0], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
@@ -313,7 +331,7 @@ def test_mixing_learns_from_whole_texts(spark):
 def test_mixing_hard_rows(spark, hard_docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = mixing.mix(hard_docs, none, targets=(1.0, 1.0, 1.0))
-    assert out.count() == hard_docs.count() and all(abs(r.rate - 1) < 1e-6 and abs(r.p_low - 1 / 3) < 1e-5 for r in out.collect())
+    assert out.count() == hard_docs.count() and all(abs(r.rate - 1) < 1e-3 and abs(r.p_low - 1 / 3) < 1e-5 for r in out.collect())
     assert mixing.mix(hard_docs.limit(0), none).count() == 0
     two = spark.createDataFrame([(1, "a", 2), (2, "b", 0)], "doc_id long, text string, copies long")
     assert sorted(r.doc_id for r in mixing.apply_copies(two, ["doc_id", "text"]).collect()) == [1, 1]
@@ -326,7 +344,7 @@ def members_of(spark, shares, times=20):
 
 def test_projection_keeps_rates_nonnegative(spark):
     members = members_of(spark, [(0.9, 0.1, 0.0), (0.5, 0.5, 0.0), (0.1, 0.9, 0.0)])
-    found = mixing.fit_rates(members, (1.6, 0.3, 1.0))
+    found = mixing.fit_rates(members, (1.6, 0.3, 1.0), tolerance=1e-6)
     rates = [r.x for r in members.select(mixing.rate(F.col("p"), found.steps).alias("x")).collect()]
     assert min(rates) == 0.0 and 1 < max(rates)
     share = np.array([(0.9, 0.1), (0.5, 0.5), (0.1, 0.9)] * 20)
@@ -337,7 +355,7 @@ def test_projection_keeps_rates_nonnegative(spark):
 @pytest.mark.parametrize(("kind", "targets", "goals"), [("shares", (6.0, 0.5, 1.0), (1560, 170, 0)), ("totals", (300, 200, 0), (300, 200, 0)), ("weights", (3, 1, 0), (450, 150, 0))])
 def test_targets_of_each_kind_are_met(spark, kind, targets, goals):
     members = members_of(spark, [(0.8, 0.2, 0.0), (0.5, 0.5, 0.0), (0.0, 1.0, 0.0)])
-    found = mixing.fit_rates(members, targets, kind)
+    found = mixing.fit_rates(members, targets, kind, tolerance=1e-6)
     rows = members.select("tokens", "p", mixing.rate(F.col("p"), found.steps).alias("x")).collect()
     by_hand = [sum(r.tokens * r.x * r.p[d] / (1 << 20) for r in rows) for d in range(3)]
     assert min(r.x for r in rows) >= 0 and np.allclose(found.totals, by_hand)

@@ -192,10 +192,10 @@ def fit_rates(members: DataFrame, targets: tuple[float, ...] = TARGETS, kind: st
 
     The gradient of the squared misses, in the metric of document tokens, is a combination of the posteriors; its
     coefficients solve the D x D Gram system over documents that can still move, so a step without projection is exact.
-    A step that projection turned into a worse one is halved. The fit ends when nothing of note is left to gain: misses
-    of a millionth of all tokens, or five rounds that bring the squared ones down by less than a hundredth. If neither
-    comes in ``rounds``, it raises. ``met`` says whether all misses are within ``tolerance`` of all tokens; if not, no
-    nonnegative rates reach the goals.
+    A step that projection turned into a worse one is halved. The fit ends when every miss is within ``tolerance`` of all
+    tokens, that is when the mixture's weights are met that closely (more would be had only by ever higher rates of ever
+    fewer documents), or when five rounds bring the squared misses down by less than a hundredth: then ``met`` is false,
+    as no nonnegative rates reach the goals. If neither comes in ``rounds``, it raises.
     """
     n, steps, goal, kept, best = len(targets), [], None, [], np.zeros(len(targets))
     seen: list[float] = []
@@ -216,7 +216,7 @@ def fit_rates(members: DataFrame, targets: tuple[float, ...] = TARGETS, kind: st
             kept, best = list(steps), totals
         small = np.abs(best - goal).max() / max(1.0, best.sum(), goal.sum())
         stuck = worse and max(map(abs, steps[-1])) < 1e-12
-        if small <= 1e-6 or stuck or len(seen) > 5 and seen[-1] > 0.99 * seen[-6]:
+        if small <= tolerance or stuck or len(seen) > 5 and seen[-1] > 0.99 * seen[-6]:
             return Fit(kept, best.tolist(), goal.tolist(), bool(small <= tolerance))
         if worse:
             steps = [*kept, [g / 2 for g in steps[-1]]]
