@@ -94,30 +94,43 @@ def phrases(raw: bytes, length: int, k: int) -> Iterator[tuple[np.ndarray, np.nd
         yield first + at, last + at, h, place + at
 
 
+def runs(raw: bytes, length: int, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(t, c, lo, hi, g, n, end) of a text's phrases: hashes of trigger and phrase, first and last stretch, trigger's place.
+
+    Equal phrases that follow each other, as in text of a short period, are one entry: the first of ``n``, the last of
+    which has its last stretch at ``end``.
+    """
+    from xxhash import xxh3_64_intdigest
+
+    for first, last, t, place in phrases(raw, length, k):
+        if len(first):
+            c = np.fromiter((xxh3_64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())), dtype=np.uint64, count=len(first))
+            begin = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (c[1:] != c[:-1])]))
+            after = np.append(begin[1:], len(first))
+            yield t[begin].view(np.int64), c[begin].view(np.int64), first[begin], last[begin], place[begin], after - begin, last[after - 1]
+
+
 def parse(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """(t, c, k, lo, hi, g): trigger hash, phrase hash, the row's key, the phrase's first and last stretch, the trigger's place."""
+    """(t, c, lo, hi, g, n, end, k): :func:`runs` of each text, and the row's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
-
-        names = ["t", "c", "k", "lo", "hi", "g"]
+        names = ["t", "c", "lo", "hi", "g", "n", "end", "k"]
         for batch in batches:
             held, rows = [], 0
             for key, text in zip(batch.column("_k").to_pylist(), batch.column("text").to_pylist()):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 if len(raw) < length:
                     continue
-                for first, last, h, place in phrases(raw, length, k):
-                    c = np.fromiter((xxh3_64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), (last + length).tolist())), dtype=np.uint64, count=len(first))
-                    held.append((h.view(np.int64), c.view(np.int64), np.full(len(first), key), first, last, place))
-                    rows += len(first)
+                for found in runs(raw, length, k):
+                    held.append((*found, np.full(len(found[0]), key)))
+                    rows += len(found[0])
                 if rows > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names)
                     held, rows = [], 0
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], names)
 
-    return docs.select("_k", "text").mapInArrow(run, "t long, c long, k long, lo long, hi long, g long")
+    return docs.select("_k", "text").mapInArrow(run, "t long, c long, lo long, hi long, g long, n long, end long, k long")
 
 
 def suffix_ranks(raw: np.ndarray, part: np.ndarray, length: int) -> np.ndarray:
@@ -215,10 +228,10 @@ def repeated_spans(docs: DataFrame, length: int = 200, k: int = 64, group: int =
     if not 8 <= k <= length < BLOCK:
         raise ValueError(f"a trigger's {k} bytes, eight at least, must lie within the {length} bytes of a match")
     parsed = parse(docs, length, k)
-    often = materialise(parsed.groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("t"), "triggers")
+    often = materialise(parsed.groupBy("t").agg(F.sum("n").alias("n")).where("n > 1").select("t"), "triggers")
     found = materialise(parsed.join(often, "t"), "phrases")
-    dictionary = materialise(found.groupBy("t", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("k", "lo", "hi", "g")).alias("at")), "dictionary")
-    whole = found.join(dictionary.where("m > 1").select("t", "c"), ["t", "c"]).select("k", F.array("lo", F.col("hi") + length).alias("spans"))
+    dictionary = materialise(found.groupBy("t", "c").agg(F.sum("n").alias("m"), F.min(F.struct("k", "lo", "hi", "g")).alias("at")), "dictionary")
+    whole = found.join(dictionary.where("m > 1").select("t", "c"), ["t", "c"]).select("k", F.array("lo", F.col("end") + length).alias("spans"))
 
     shared = materialise(dictionary.groupBy("t").agg(F.count(F.lit(1)).alias("d")).where("d > 1"), "shared")
     mixed = dictionary.join(shared, "t").select("at.k", F.struct("at.lo", "at.hi", "at.g", "t", "m", (F.col("d") > group).alias("hot")).alias("p"))
