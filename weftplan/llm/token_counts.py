@@ -34,6 +34,8 @@ class PrefixTrie:
 
     #: Nodes kept at most; beyond that the trie starts anew, which changes no count.
     MAX_NODES = 400_000
+    #: Bytes of a pre-token that goes through the trie; a longer one shares no prefix of note and is scored on its own.
+    LONGEST = 4096
 
     def __init__(self, vocabulary: dict[bytes, float]):
         # each suffix of a piece: the piece's score, or None if no piece ends the walk there
@@ -42,6 +44,7 @@ class PrefixTrie:
             for k in range(1, len(piece)):
                 self.suffixes.setdefault(piece[k:], None)
         self.suffixes.update(vocabulary)
+        self.reach = max(map(len, vocabulary), default=1)
         self.clear()
 
     def clear(self) -> None:
@@ -55,6 +58,10 @@ class PrefixTrie:
         if known is not None:
             return known
         raw = token.encode("utf-8", "surrogatepass")
+        if len(raw) > self.LONGEST:
+            return self._alone(raw)
+        if len(self.score) > self.MAX_NODES:
+            self.clear()
         children, score, tokens, suffixes = self.children, self.score, self.tokens, self.suffixes
         path = [0]
         for i in range(1, len(raw) + 1):
@@ -79,13 +86,34 @@ class PrefixTrie:
         return known
 
 
+    def _alone(self, raw: bytes) -> tuple[int, float]:
+        """:meth:`count` of one long pre-token; holds the forward scores of as many bytes as the longest piece has."""
+        size = self.reach + 1
+        score, tokens = [0.0] * size, [0] * size
+        for i in range(1, len(raw) + 1):
+            last = (i - 1) % size
+            best, least = score[last] + UNKNOWN, tokens[last] + 1
+            for j in range(i - 1, -1, -1):
+                s = self.suffixes.get(raw[j:i], False)
+                if s is False:
+                    break
+                if s is not None:
+                    got = score[j % size] + s
+                    if got > best or got == best and tokens[j % size] + 1 < least:
+                        best, least = got, tokens[j % size] + 1
+            score[i % size], tokens[i % size] = best, least
+        return tokens[len(raw) % size], score[len(raw) % size]
+
+
 _tries: dict[str, PrefixTrie] = {}
 
 
 def token_counts(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, n_pretokens, n_tokens, score): one row for each row of ``docs``; null and empty texts have no tokens.
 
-    Repeated rows and null ids are counted one by one; extra columns are ignored. Nothing is shuffled.
+    Scores follow from the vocabulary's ranks alone, see :func:`load_vocabulary`; no text enters them. Repeated rows and
+    null ids are counted one by one; extra columns are ignored; an empty table gives an empty result. Nothing is shuffled.
+    A very long text is held whole with its pre-tokens; the trie's size has a bound, whatever the texts.
     """
     import public_tokenizers
 
@@ -102,8 +130,6 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, pattern: str |
         for batch in batches:
             n_pre, n_tok, scores = [], [], []
             for text in batch.column("text").to_pylist():
-                if len(trie.score) > trie.MAX_NODES:
-                    trie.clear()
                 pre, tok, score = 0, 0, 0.0
                 for token, n in Counter(cut.findall(text or "")).items():
                     k, s = trie.count(token)
