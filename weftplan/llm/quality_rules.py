@@ -136,12 +136,22 @@ def everything():  # noqa: ANN201
     return Window.partitionBy(F.lit(0))  # over rows of buckets, so `buckets` of them at most
 
 
+#: Columns that :func:`judge` adds.
+JUDGED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+
+
 def judge(docs: DataFrame, model: Model, min_words: int = 50, repeat_percent: int = 50) -> DataFrame:
-    """``docs`` with the columns of :func:`features`, base_failed, score (millionths) and kept.
+    """``docs``, every row and column, with the counts of :func:`features`, base_failed, score (millionths) and kept; these
+    replace columns of such names.
 
-    Null and empty texts have no words and fail. Rows are judged one by one, repeated rows and null ids included.
+    Null and empty texts have no words and fail. Rows are judged one by one, repeated rows and null ids included. A very
+    long text is held whole with its words and hashes, some 100 bytes for each word. An empty table gives an empty result.
     """
     n = F.col("n_words")
     failed = (n < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * n)
-    out = features(docs).withColumn("base_failed", failed).withColumn("_total", model.total(F.col("_w")))
-    return out.withColumn("score", F.when(n > 0, F.col("_total") / (2 * n - 1))).withColumn("kept", ~F.col("base_failed") & model.passes(F.col("_total"), n)).drop("_w", "_total")
+    columns = [c for c in docs.columns if c not in JUDGED]
+    rest = [F.col(f"`{c}`") for c in columns if c != "text"]
+    rows = docs.select("text", F.struct(*(rest or [F.lit(0).alias("none")])).alias("_row"))
+    out = features(rows).withColumn("base_failed", failed).withColumn("_total", model.total(F.col("_w")))
+    out = out.withColumn("score", F.when(n > 0, F.col("_total") / (2 * n - 1))).withColumn("kept", ~F.col("base_failed") & model.passes(F.col("_total"), n))
+    return out.select(*(F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in columns), *JUDGED)
