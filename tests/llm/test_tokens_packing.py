@@ -181,3 +181,57 @@ def test_token_counts(spark, hard_docs):
     a = [trie.count(x) for x in ("hello", "help", "hello")]
     trie.clear()
     assert [trie.count(x) for x in ("hello", "help", "hello")] == a and len(rows(got)) == got.count()
+
+
+def test_trie_bounds_change_no_count(monkeypatch):
+    import public_tokenizers as p
+
+    vocabulary = token_counts.load_vocabulary(p.path("byte_bpe_50k.tiktoken"))
+    r = random.Random(8)
+    tokens = ["".join(r.choice("the and é x1") for _ in range(r.randrange(1, 90))) for _ in range(300)]
+    plain = token_counts.PrefixTrie(vocabulary)
+    want = [plain.count(x) for x in tokens]
+    monkeypatch.setattr(token_counts.PrefixTrie, "LONGEST", 20)
+    monkeypatch.setattr(token_counts.PrefixTrie, "MAX_NODES", 300)
+    small = token_counts.PrefixTrie(vocabulary)
+    got = [small.count(x) for x in tokens]
+    assert [n for n, _ in got] == [n for n, _ in want] and np.allclose([x for _, x in got], [x for _, x in want])
+    assert len(small.score) < 400
+
+
+def test_rows_of_one_id_have_one_order(spark, tmp_path):
+    """Most rows share an id: they keep their order, and do not all go to one shard."""
+    docs = spark.createDataFrame([(7 if i % 10 else i, f"text number {i} " * (1 + i % 5)) for i in range(2000)] + [(None, f"none {i}") for i in range(20)], "doc_id long, text string").repartition(4)
+    path = f"file://{tmp_path}/docs"
+    docs.write.parquet(path)
+    runs = []
+    for k in range(2):
+        manifest = token_files.write_token_files(spark.read.parquet(path), path=f"file://{tmp_path}/t{k}")
+        runs.append(sorted((r.start, r.doc_id, r.ids_crc32) for r in token_files.read_token_files(manifest).collect()))
+        assert max(r.n_docs for r in manifest.collect()) < 1500
+    assert runs[0] == runs[1] and len(runs[0]) == 2020
+    ids = [i for _, i, _ in runs[0] if i is not None]
+    assert ids == sorted(ids)
+
+
+def test_file_systems_by_scheme(tmp_path):
+    from weftplan.llm.common import file_system
+
+    assert file_system(f"file://{tmp_path}/x")[1] == f"{tmp_path}/x" and file_system(str(tmp_path))[1] == str(tmp_path)
+    assert file_system("s3a://some-bucket/a/b")[1] == "some-bucket/a/b"
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from weftplan.llm.common import shared_dir
+
+    def session(master, folder=None):
+        sc = SimpleNamespace(master=master, getConf=lambda: {"spark.checkpoint.dir": folder} if folder else {}, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+        return SimpleNamespace(sparkContext=sc)
+
+    for master in ("local-cluster[3,2,1024]", "yarn", "spark://host:7077", "k8s://x"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))
+        assert shared_dir(session(master, "hdfs://x/y/")) == "hdfs://x/y"
+    assert shared_dir(spark)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -14,12 +15,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where it is unset and the master is
+    local, as in tests. On a cluster without that setting it raises, as no folder of one machine would do."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="weftplan-")
-        spark.sparkContext.setCheckpointDir(base)
-        base = spark.sparkContext.getCheckpointDir()
+        if not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="weftplan-"))
+        base = sc.getCheckpointDir()
     return base.rstrip("/")
 
 
@@ -61,11 +65,28 @@ def written(df: DataFrame, name: str) -> str:
     return path
 
 
+def file_system(uri: str):  # noqa: ANN201
+    """(file system, path) of a URI, for files that a worker itself reads or writes: what pyarrow knows, ``s3a`` and
+    ``s3n`` by its S3 client, and any other scheme through Hadoop's (libhdfs)."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition("://")
+    if scheme in ("s3a", "s3n"):
+        return fs.FileSystem.from_uri(f"s3://{rest}")
+    try:
+        return fs.FileSystem.from_uri(uri)
+    except pa.ArrowInvalid:
+        if not rest:
+            raise
+        host, _, path = rest.partition("/")
+        return fs.HadoopFileSystem(f"{scheme}://{host}"), f"/{path}"
+
+
 def read_table(uri: str) -> pa.Table:
     """A table of bounded size from the shared folder, read by a worker itself."""
-    from pyarrow import dataset, fs
+    from pyarrow import dataset
 
-    system, path = fs.FileSystem.from_uri(uri)
+    system, path = file_system(uri)
     return dataset.dataset(path, format="parquet", filesystem=system).to_table()
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import default_tokenizer, encoded, fresh_path, materialise
+from .common import default_tokenizer, encoded, file_system, fresh_path, materialise
 
 # Fixed values of the public seekable zstandard format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -30,12 +30,6 @@ FRAME_BYTES = 1 << 18
 MANIFEST = "shard int, path string, n_docs long, n_ids long"
 
 
-def _files(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 class ShardWriter:
     """Writes one shard; ``add`` documents in order, then ``close``. Holds one frame and the index."""
 
@@ -126,11 +120,12 @@ class ShardReader:
             yield ids[i], raw[offset : offset + 4 * n[i]]
 
 
-def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = 0, level: int = 1) -> DataFrame:
+def write_tokenfile_system(docs: DataFrame, path: str | None = None, tokenizer: str | None = None, end_id: int = 0, level: int = 1) -> DataFrame:
     """Encode ``docs`` and write shards under ``path`` (a URI all executors reach); returns the manifest.
 
-    Null and empty texts hold the end id only. Null doc_ids come first, rows that share a doc_id follow each other;
-    extra columns are ignored; an empty table writes no shard. A task names its file by its attempt and reports it
+    Null and empty texts hold the end id only. Null doc_ids come first; rows that share a doc_id follow each other in the
+    order in which Spark reads them, which is fixed for a fixed layout of files; a very long text has a frame of its own.
+    Extra columns are ignored; an empty table writes no shard. A task names its file by its attempt and reports it
     when it is complete, so only files in the manifest count, whatever attempts were lost.
     """
     spark = docs.sparkSession
@@ -141,7 +136,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str |
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        fs, base = _files(path)
+        fs, base = file_system(path)
         fs.create_dir(base, recursive=True)
         name = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}.tokz"
         writer = sink = None
@@ -156,17 +151,19 @@ def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str |
             sink.close()
             yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "path": f"{path}/{name}", "n_docs": n_docs, "n_ids": n_ids}], schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # rows of one doc_id keep the order in which they are read, and go to as many shards as they need
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("place"))
+    rows = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").drop("place")
     return materialise(rows.mapInArrow(run, MANIFEST), "manifest")
 
 
-def read_token_files(manifest: DataFrame) -> DataFrame:
+def read_tokenfile_system(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the shards; ``start`` counts all ids before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                fs, name = _files(row["path"])
+                fs, name = file_system(row["path"])
                 out, start = [], row["base"]
                 with fs.open_input_file(name) as source:
                     for doc_id, ids in ShardReader(source).documents():
