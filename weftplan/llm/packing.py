@@ -134,5 +134,6 @@ def pack(docs: DataFrame, tokens: int = 1024, max_docs: int | None = None, atten
                 seq[idx], off[idx] = bins[at] + rank[idx] - first[at], offsets[at]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(seq), pa.array(off)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = cut.join(before.drop("n"), ["length", "pid"]).withColumn("global_rank", F.col("before") + F.col("rank"))
+    # a row for each length and partition grows with the corpus, so it is merged, never broadcast
+    ranked = cut.join(before.drop("n").hint("merge"), ["length", "pid"]).withColumn("global_rank", F.col("before") + F.col("rank"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "global_rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
