@@ -220,7 +220,7 @@ def test_file_systems_by_scheme(tmp_path):
     from weftplan.llm.common import file_system
 
     assert file_system(f"file://{tmp_path}/x")[1] == f"{tmp_path}/x" and file_system(str(tmp_path))[1] == str(tmp_path)
-    assert file_system("s3a://some-bucket/a/b")[1] == "some-bucket/a/b"
+    assert file_system("s3a://some-bucket/a/b?region=us-east-1")[1] == "some-bucket/a/b"
 
 
 def test_no_local_folder_on_a_cluster(spark):
