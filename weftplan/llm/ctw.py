@@ -15,12 +15,10 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 from math import log
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,7 +173,7 @@ def string_values(strings: DataFrame, levels: list[DataFrame]) -> DataFrame:
     for k in range(8):
         one = F.col("said")[F.expr(f"cast((1L << {k}) | shiftrightunsigned(g & 255L, {8 - k}) as int)")]
         chance = F.when(F.expr(f"shiftrightunsigned(g & 255L, {7 - k}) & 1L") == 1, one).otherwise(1 - one)
-        value += F.log10(F.greatest(chance, F.lit(1e-12)))
+        value += F.log10(chance)
     return met.select("g", "m", value.alias("v"))
 
 
@@ -205,111 +203,6 @@ class Held:
         return out
 
 
-P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-
-
-def xxh64_long(x: np.ndarray, seed: int = 42) -> np.ndarray:
-    """XXH64 of 8-byte integers, as Spark's xxhash64 of one long gives it."""
-
-    def turn(v: np.ndarray, r: int) -> np.ndarray:
-        return (v << np.uint64(r)) | (v >> np.uint64(64 - r))
-
-    h = (np.uint64(seed) + P5 + np.uint64(8)) ^ (turn(x * P2, 31) * P1)
-    h = turn(h, 27) * P1 + P4
-    h ^= h >> np.uint64(33)
-    h *= P2
-    h ^= h >> np.uint64(29)
-    h *= P3
-    return h ^ (h >> np.uint64(32))
-
-
-class Model:
-    """The tree as tables of fixed size, for strings that were not counted; :meth:`log10` gives the probability of each
-    byte after its context. Exact where ``slots`` hold all nodes; :func:`score` doesn't depend on it."""
-
-    def __init__(self, depth: int, slots: int):
-        self.depth, self.slots = depth, slots
-        self.dense_p = [np.full(1 << (8 * d + 8), 0.5, dtype=np.float32) for d in (0, 1)]
-        self.dense_stop = [np.full(1 << (8 * d + 8), -1, dtype=np.float32) for d in (0, 1)]
-        self.keys = np.zeros(slots, dtype=np.uint64)
-        self.cached_keys, self.cached = np.full(1 << CACHE_BITS, (1 << 64) - 1, dtype=np.uint64), np.zeros(1 << CACHE_BITS)
-        self.p, self.stop = np.full(slots, 0.5, dtype=np.float32), np.zeros(slots, dtype=np.float32)
-
-    @classmethod
-    def load(cls, shallow: str, deep: str, depth: int, slots: int) -> Model:
-        """From the two tables that :func:`publish` wrote."""
-        model = cls(depth, slots)
-        got = read_table(shallow)
-        for d in range(min(2, depth + 1)):
-            part = got.filter(pa.compute.equal(got.column("d"), d))
-            at = part.column("key").to_numpy()
-            model.dense_p[d][at], model.dense_stop[d][at] = part.column("p").to_numpy(), part.column("stop").to_numpy()
-        if depth >= 2:
-            got = read_table(deep)
-            at = got.column("slot").to_numpy()
-            model.keys[at], model.p[at], model.stop[at] = got.column("key").to_numpy().view(np.uint64), got.column("p").to_numpy(), got.column("stop").to_numpy()
-        return model
-
-    def _node(self, d: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(estimate of a one, weight to stop here; negative: no such node)."""
-        if d < 2:
-            return self.dense_p[d][key], self.dense_stop[d][key]
-        key = key | np.uint64(d << 56)
-        at = (xxh64_long(key) & np.uint64(self.slots - 1)).astype(np.int64)
-        return self.p[at], np.where(self.keys[at] == key, self.stop[at], np.float32(-1))
-
-    def log10(self, strings: np.ndarray) -> np.ndarray:
-        """Of each string; values are kept in a table of fixed size, as most strings come again."""
-        at = (strings * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-        out = self.cached[at].astype(float)
-        miss = np.flatnonzero(self.cached_keys[at] != strings)
-        if len(miss):
-            new, back = np.unique(strings[miss], return_inverse=True)
-            value = self.compute(new)
-            out[miss] = value[back]
-            at = (new * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-            self.cached_keys[at], self.cached[at] = new, value
-        return out
-
-    def compute(self, strings: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(strings))
-        byte, context = strings & np.uint64(255), strings >> np.uint64(8)
-        for k in range(8):
-            prefix = np.uint64(1 << k) | (byte >> np.uint64(8 - k))
-            bit = ((byte >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
-            one, left, last = np.zeros(len(strings)), np.ones(len(strings)), np.full(len(strings), 0.5)
-            live = np.arange(len(strings))
-            for d in range(self.depth + 1):
-                key = ((context[live] & np.uint64((1 << (8 * d)) - 1)) << np.uint64(8)) | prefix[live]
-                p, stop = self._node(d, key)
-                here = stop >= 0
-                gone = live[~here]
-                one[gone] += left[gone] * last[gone]
-                left[gone] = 0
-                live, p, stop = live[here], p[here].astype(float), stop[here].astype(float)
-                if d == self.depth:
-                    stop = np.ones(len(live))
-                one[live] += left[live] * stop * p
-                left[live] *= 1 - stop
-                last[live] = p
-            out += np.log10(np.clip(np.where(bit, one, 1 - one), 1e-12, 1))
-        return out
-
-
-def publish(levels: list[DataFrame], slots: int) -> tuple[str, str]:
-    """Write the model to the shared folder, where each worker reads it: 65,792 nodes at most, and ``slots`` more."""
-    p = ((F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)).cast("float").alias("p")
-    stop = F.col("stop").cast("float").alias("stop")
-    shallow = reduce(DataFrame.union, (x.select(F.lit(d).alias("d"), "key", p, stop) for d, x in enumerate(levels[:2])))
-    rows = [x.select(F.col("key").bitwiseOR(F.lit(d << 56).cast("long")).alias("key"), (F.col("a") + F.col("b")).alias("n"), p, stop) for d, x in enumerate(levels[2:], 2)]
-    deep = ""
-    if rows:
-        best = F.max(F.struct("n", "key", "p", "stop")).alias("x")
-        at = F.xxhash64("key").bitwiseAND(F.lit(slots - 1).cast("long")).cast("int").alias("slot")
-        deep = written(reduce(DataFrame.union, rows).groupBy(at).agg(best).select("slot", "x.key", "x.p", "x.stop"), "deep")
-    return written(shallow, "shallow"), deep
-
-
 _loaded: dict[str, tuple[dict[bytes, int], Held]] = {}
 
 
@@ -344,7 +237,7 @@ def score(docs: DataFrame, depth: int = 5, slots: int = 1 << 21, frequent: int =
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte): a row for each row.
 
     Null and empty texts are one token, the end. Rows with a null doc_id train; repeated rows train and are scored one
-    by one. With no training document all counts are zero and every bit has probability one half. Extra columns are ignored. ``frequent`` words
+    by one; a text's words are held whole, its bytes are coded with those of its neighbours, some 50 bytes for each. With no training document all counts are zero and every bit has probability one half. Extra columns are ignored. ``frequent`` words
     and ``slots`` strings at most are looked up in memory; all others meet their counts and values in a join.
     """
     if not 0 <= depth <= 6:
