@@ -67,3 +67,6 @@ def test_everything_else_works_without_the_text_operators(tmp_path):
     shutil.rmtree(tmp_path / "weftplan" / "llm", ignore_errors=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'customer_360' in q and 'pipeline' not in q and not any(k.startswith('op1_') for k in q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+    # what is there and cannot be imported is not passed over
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_module\n")
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True).returncode
