@@ -69,6 +69,10 @@ class Use:
     kind: Dependency
 
 
+#: Stands for the rows of a step, which fields such as counts are made of.
+ROWS = ""
+
+
 @dataclass(frozen=True)
 class Lineage:
     plan: str
@@ -79,23 +83,43 @@ class Lineage:
 
     def upstream(self, step: str, field: str, rows: bool = True) -> set[FieldRef]:
         """All fields that a field depends on; ``rows``: also those that decide its rows."""
-        back, decide = {}, {}
+        back, decide, before = {}, {}, {}
         for e in self.edges:
             back.setdefault(e.target, set()).add(e.source)
         for u in self.uses:
             decide.setdefault(u.step, set()).add(u.source)
-        return self._close({FieldRef(step, field)}, lambda f: back.get(f, set()) | (decide.get(f.step, set()) if rows else set()))
+        for a, b in self.datasets:
+            before.setdefault(b, set()).add(FieldRef(a, ROWS))
+
+        def go(f: FieldRef) -> set[FieldRef]:
+            out = back.get(f, set())
+            if rows:
+                out = out | decide.get(f.step, set())
+                if f not in back:  # made of rows alone, such as a count
+                    out = out | before.get(f.step, set())
+            return out
+
+        return {f for f in self._close({FieldRef(step, field)}, go) if f.field != ROWS}
 
     def downstream(self, step: str, field: str, rows: bool = True) -> set[FieldRef]:
-        """All fields that depend on a field."""
-        ahead, fields = {}, {}
+        """All fields that depend on a field; ``rows``: also those whose rows it decides."""
+        ahead, fields, after, decided = {}, {}, {}, {}
+        made = {e.target for e in self.edges}
         for e in self.edges:
             ahead.setdefault(e.source, set()).add(e.target)
-            fields.setdefault(e.target.step, set()).add(e.target)
-        decided = {}
+            for f in (e.source, e.target):
+                fields.setdefault(f.step, set()).add(f)
         for u in self.uses:
-            decided.setdefault(u.source, set()).update(fields.get(u.step, set()))
-        return self._close({FieldRef(step, field)}, lambda f: ahead.get(f, set()) | (decided.get(f, set()) if rows else set()))
+            decided.setdefault(u.source, set()).update(fields.get(u.step, set()) | {FieldRef(u.step, ROWS)})
+        for a, b in self.datasets:
+            after.setdefault(a, set()).update({f for f in fields.get(b, set()) if f not in made} | {FieldRef(b, ROWS)})
+
+        def go(f: FieldRef) -> set[FieldRef]:
+            if f.field == ROWS:
+                return after.get(f.step, set())
+            return ahead.get(f, set()) | (decided.get(f, set()) if rows else set())
+
+        return {f for f in self._close({FieldRef(step, field)}, go) if f.field != ROWS}
 
     def datasets_upstream(self, step: str) -> set[str]:
         back: dict[str, set[str]] = {}

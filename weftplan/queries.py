@@ -16,6 +16,7 @@ from .functions import col, lit
 from .functions import window as w
 from .operators import CastPolicy, NullMatch, SortKey
 from .plans import Optimizer, PlanBuilder, analyse
+from .plans.compile import compile_plan
 from .errors import QualityGateError
 from .runtime import OutputBinding, Runtime
 from .schema import Schema
@@ -710,3 +711,89 @@ def stream_steps(d):  # noqa: ANN001, ANN201
     q_.processAllAvailable()
     q_.stop()
     return d.spark.read.parquet(out)
+
+
+def per_customer(d):  # noqa: ANN001, ANN201
+    x = d.filter(d.table("orders", "o_orderkey", "o_custkey", "o_orderstatus"), col("o_orderstatus") == "F")
+    return d.derive(d.aggregate(x, ["o_custkey"], {"n": fn.count(), "most": fn.max_(col("o_orderkey"))}), "rank", w.rank().over(w.order_by(w.desc("n"))))
+
+
+PER_CUSTOMER = "SELECT *, rank() OVER (ORDER BY n DESC) AS rank FROM (SELECT o_custkey, count(*) AS n, max(o_orderkey) AS most FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)"
+
+
+@query(PER_CUSTOMER)
+def wire_plan(d):  # noqa: ANN001, ANN201
+    """A plan as a document, read back, and then run."""
+    from .wire import dumps, loads
+
+    plan = d.plan(per_customer(d))
+    again = loads(dumps(plan))
+    if again.fingerprint != plan.fingerprint:
+        raise AssertionError("a plan changed on the wire")
+    return Runtime(d.spark).execute(again, d.bound).output()
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_acctbal > 0")
+def yaml_schema(d):  # noqa: ANN001, ANN201
+    """An input under a schema that went through its document."""
+    from .schema_yaml import dumps_schema, loads_schema
+
+    df = load(d.spark, d.sf, "supplier")
+    schema = loads_schema(dumps_schema(Schema.from_spark(df.schema), "supplier"))
+    b = PlanBuilder("yaml")
+    b.output("out", b.filter("some", b.input("supplier", schema), col("s_acctbal") > 0.0))
+    return Runtime(d.spark).execute(b.build(), {"supplier": df}).output()
+
+
+@query("SELECT p_partkey, upper(trim(p_brand)) || '!' AS loud FROM part")
+def plugin_function(d):  # noqa: ANN001, ANN201
+    from .plugins import Extensions, FunctionExtension
+
+    ext = Extensions()
+    ext.add("function", "shout", FunctionExtension("shout", lambda e: fn.concat(fn.upper(fn.trim(e)), lit("!"))))
+    return d.run(d.drop(d.derive(d.table("part", "p_partkey", "p_brand"), "loud", ext.freeze().function("shout")(col("p_brand"))), ["p_brand"]))
+
+
+@query("SELECT c_custkey, lower(c_mktsegment) AS segment FROM customer WHERE c_acctbal >= 0")
+def fluent_pipeline(d):  # noqa: ANN001, ANN201
+    from .plans import Pipeline
+
+    df = load(d.spark, d.sf, "customer")
+    p = Pipeline("fluent", Schema.from_spark(df.schema)).filter(col("c_acctbal") >= 0.0).derive("segment", fn.lower(col("c_mktsegment"))).select(["c_custkey", "segment"])
+    return p.run(d.spark, df)
+
+
+@query("SELECT * FROM region")
+def interchange(d):  # noqa: ANN001, ANN201
+    """To Arrow and pandas, and back; a small table, as all of it passes the driver."""
+    from .sources.interchange import Fidelity, from_arrow, from_pandas, to_arrow, to_pandas
+
+    df = from_arrow(d.spark, to_arrow(load(d.spark, d.sf, "region")))
+    frame, _ = to_pandas(df, Fidelity.ALLOW_POTENTIALLY_LOSSY)
+    return from_pandas(d.spark, frame, Schema.from_spark(df.schema))
+
+
+@query("""SELECT * FROM (VALUES ('aggregate_3', 'n'), ('aggregate_3', 'o_custkey'), ('aggregate_3', 'most'), ('derive_4', 'most'), ('derive_4', 'n'), ('derive_4', 'o_custkey'), ('derive_4', 'rank'),
+  ('filter_2', 'o_custkey'), ('filter_2', 'o_orderkey'), ('filter_2', 'o_orderstatus'), ('output:out0', 'most'), ('output:out0', 'n'), ('output:out0', 'o_custkey'), ('output:out0', 'rank')) AS t(step, field)""")
+def impact(d):  # noqa: ANN001, ANN201
+    """All that changes if the status of orders does: rows are dropped by it, so every field after the filter."""
+    got = analyse(d.plan(per_customer(d))).downstream("orders_1", "o_orderstatus")
+    return d.spark.createDataFrame(sorted((r.step, r.field) for r in got), "step string, field string")
+
+
+@query("SELECT * FROM (VALUES ('sort', FALSE), ('filter', TRUE), ('aggregate', FALSE)) AS t(step, streams)")
+def stream_capabilities(d):  # noqa: ANN001, ANN201
+    """Which steps a stream takes, by asking before any job."""
+    from .errors import CapabilityError
+    from .runtime.capabilities import check
+
+    schema, out = Schema.of(("a", t.INT64)), []
+    for step, args in (("sort", (["a"],)), ("filter", (col("a") > 0,)), ("aggregate", (["a"], {"n": fn.count()}))):
+        b = PlanBuilder("stream")
+        b.output("out", getattr(b, step)("step", b.input("in", schema), *args))
+        try:
+            check(compile_plan(b.build()), streaming=frozenset(["in"]))
+            out.append((step, True))
+        except CapabilityError:
+            out.append((step, False))
+    return d.spark.createDataFrame(out, "step string, streams boolean")
