@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from itertools import islice
 
 import numpy as np
@@ -51,11 +53,37 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+class _Scopes(threading.local):
+    """Tables of each open :func:`scope` of a thread, innermost last."""
+
+    def __init__(self) -> None:
+        self.open: list[list[DataFrame]] = []
+
+
+_scopes = _Scopes()
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Tables that are materialised within go when it ends, but for those made with ``keep``, which the scope around it owns."""
+    _scopes.open.append([])
+    try:
+        yield
+    finally:
+        for df in _scopes.open.pop():
+            drop_table(df)
+
+
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors, gives exact sizes."""
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.path = path  # for drop_table
+    owner = _scopes.open[: -1 if keep else None]
+    if owner:
+        owner[-1].append(out)
+    return out
 
 
 def written(df: DataFrame, name: str) -> str:
@@ -93,9 +121,8 @@ def read_table(uri: str) -> pa.Table:
 def drop_table(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialise` that nothing needs any more."""
     spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(df.path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", key: str = "_k") -> DataFrame:

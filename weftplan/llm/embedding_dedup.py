@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sorted_groups
+from .common import materialise, scope, sorted_groups
 from .components import components, forest
 
 #: Rounding in double precision of sums of a few thousand products of numbers up to one.
@@ -86,18 +86,8 @@ def tiled(rows: DataFrame) -> DataFrame:
     return rows.withColumn("at", F.xxhash64(*TILE)).repartition("at").sortWithinPartitions(*TILE).drop("at")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = 2048, id_col: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """(vec_id, n_links, component_id, kept): one row for each row of ``vectors``.
-
-    Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label or id, link
-    with nothing: no links, their own component, kept. Vectors of different lengths do not link. Rows that share an id
-    count as vectors of their own. Extra columns are ignored; an empty table gives an empty result. Tiles travel as
-    int8; double precision follows for the vectors that have an open pair in a tile pair.
-    """
-    v = F.col(vector).cast("array<double>")
-    good = v.isNotNull() & (F.size(v) > 0) & F.col(label).isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
-    # -0.0 and 0.0 are one value
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label).alias("label"), F.when(F.coalesce(good, F.lit(False)), F.transform(v, lambda x: x + F.lit(0.0))).alias("v"))
+def _classes(rows: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """(label, v, cn, links, component) of the distinct vectors of ``rows`` (id, label, v): rows, links to other classes' rows, smallest id reachable."""
     # ids may repeat, so classes get numbers of their own, fixed as the table is written
     classes = materialise(rows.where(F.col("v").isNotNull()).groupBy("label", "v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("c", F.monotonically_increasing_id()), "classes")
 
@@ -162,7 +152,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = 204
     parts = materialise(components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b"))), "parts")
     known = classes.join(counts, F.col("c") == counts.node, "left").drop("node").join(parts, F.col("c") == parts.node, "left").withColumn("part", F.coalesce("component", "c"))
     least = known.groupBy("part").agg(F.min("rep").alias("least"))
-    known = materialise(known.join(least, "part").select("label", "v", F.col("n").alias("cn"), F.coalesce("links", F.lit(0)).alias("links"), F.col("least").alias("component")), "known")
+    return known.join(least, "part").select("label", "v", F.col("n").alias("cn"), F.coalesce("links", F.lit(0)).alias("links"), F.col("least").alias("component"))
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tile: int = 2048, id_col: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
+    """(vec_id, n_links, component_id, kept): one row for each row of ``vectors``.
+
+    Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null label or id, link
+    with nothing: no links, their own component, kept. Vectors of different lengths do not link. Rows that share an id
+    count as vectors of their own. Extra columns are ignored; an empty table gives an empty result. Tiles travel as
+    int8; double precision follows for the vectors that have an open pair in a tile pair.
+    """
+    v = F.col(vector).cast("array<double>")
+    good = v.isNotNull() & (F.size(v) > 0) & F.col(label).isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
+    # -0.0 and 0.0 are one value
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label).alias("label"), F.when(F.coalesce(good, F.lit(False)), F.transform(v, lambda x: x + F.lit(0.0))).alias("v"))
+    with scope():
+        known = materialise(_classes(rows, threshold, tile), "known", keep=True)
     own = rows.join(known, ["label", "v"], "left")
     component = F.coalesce("component", "id")
     return own.select(F.col("id").alias("vec_id"), F.coalesce(F.col("links") + F.col("cn") - 1, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, keyed, materialise
+from .common import keyed, materialise, scope
 
 SEPARATOR = {"line": "\n", "paragraph": "\n\n"}
 #: Words of a passage unit, and neighbouring starts of which one is taken at least.
@@ -110,8 +110,6 @@ def repeated_units(docs: DataFrame, unit: str = "passage", min_words: int = 10)
     often = materialise(every.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("d1", "d2"), "often")
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k", "i")
     found = materialise(every.join(often, ["d1", "d2"]).select("d1", "d2", rank.alias("rank")), "repeated")
-    drop_table(every)
-    drop_table(often)
     first = materialise(found.groupBy("d1", "d2").agg(F.min("rank").alias("first")), "firsts")
     return found.join(first, ["d1", "d2"]).where(~F.col("rank").eqNullSafe(F.col("first"))).select("rank.k", "rank.i")
 
@@ -165,8 +163,9 @@ def remove_repeated(docs: DataFrame, unit: str = "passage", min_words: int = 10)
         raise ValueError(f"no unit {unit!r}")
     rest = [c for c in docs.columns if c not in ("text", "removed")]
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row")))
-    gone = repeated_units(rows, unit, min_words).groupBy(F.col("k").alias("_k")).agg(F.collect_list("i").alias("at"))
-    gone = materialise(gone, "removed")
+    with scope():
+        gone = repeated_units(rows, unit, min_words).groupBy(F.col("k").alias("_k")).agg(F.collect_list("i").alias("at"))
+        gone = materialise(gone, "removed", keep=True)
 
     @F.pandas_udf("text string, removed array<struct<start:long,end:long>>")
     def less(text, at):  # noqa: ANN001

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sorted_groups
+from .common import materialise, scope, sorted_groups
 from .components import components, forest
 
 QUARTERS, SIDE = 4, 17
@@ -135,11 +135,12 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, seed: in
     columns are ignored; an empty table gives an empty result.
     """
     fps = materialise(fingerprints(docs, shingle, seed), "fingerprints")
-    groups = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    parts = materialise(components(links(groups.select("fp"), radius, tile)), "parts")
-    linked = groups.join(parts, groups.fp == parts.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    classes = materialise(linked.join(least, "component").select("fp", "component_id"), "classes")
+    with scope():
+        groups = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+        parts = materialise(components(links(groups.select("fp"), radius, tile)), "parts")
+        linked = groups.join(parts, groups.fp == parts.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+        least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+        classes = materialise(linked.join(least, "component").select("fp", "component_id"), "classes", keep=True)
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 

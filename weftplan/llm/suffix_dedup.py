@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, keyed, materialise, sorted_groups
+from .common import keyed, materialise, scope, sorted_groups
 
 #: Any odd number with well-mixed bits; its inverse modulo 2^64 makes window hashes differences of running sums.
 BASE = 0x9E3779B97F4A7C15
@@ -208,18 +208,14 @@ def refined(hot: DataFrame, length: int, group: int) -> tuple[list[DataFrame], l
     spans, small = [], []
     while hot.limit(1).count():
         parts = materialise(halved(hot, length), "halves")
-        drop_table(hot)
         place = F.min(F.struct("k", "lo", "hi", "g", "bytes")).alias("at")
         classes = materialise(parts.groupBy("home", "a", "b", "u").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("m"), place), "classes")
         alike = parts.where("m = 1").join(classes.where("n > 1").select("home", "a", "b", "u"), ["home", "a", "b", "u"])
         spans.append(materialise(alike.select("k", F.array("lo", F.col("hi") + length).alias("spans")), "alike"))
-        drop_table(parts)
         homes = materialise(classes.groupBy("home", "a", "b").agg(F.count(F.lit(1)).alias("d")).where("d > 1"), "homes")
         met = classes.join(homes, ["home", "a", "b"]).select("home", "a", "b", "m", "at.*", "d")
         small.append(materialise(met.where(F.col("d") <= group).select(F.xxhash64("home", "a", "b").alias("home"), "k", "lo", "m", "bytes"), "small"))
         hot = materialise(met.where(F.col("d") > group).drop("home", "d"), "hot")
-        drop_table(classes)
-        drop_table(homes)
     return spans, small
 
 
@@ -281,8 +277,9 @@ def remove_repeated(docs: DataFrame, length: int = 200, k: int = 64) -> DataFram
     on the input. Extra columns are ignored.
     """
     docs_k = keyed(docs).select("_k", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spans = repeated_spans(docs_k, length, k)
-    by_row = materialise(spans.groupBy("k").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    with scope():
+        spans = repeated_spans(docs_k, length, k)
+        by_row = materialise(spans.groupBy("k").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans", keep=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
