@@ -138,6 +138,20 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", key: str = "_k") -> DataFrame
     return materialise(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
 
 
+#: Rows, at most, of the table that :func:`maybe_among` broadcasts.
+BUCKETS = 1 << 18
+
+
+def maybe_among(docs: DataFrame, ids: DataFrame, key: str = "_k") -> DataFrame:
+    """``docs`` without most rows whose ``key`` is not in the column of ``ids``, before a join on it shuffles them.
+
+    A semi-join on BUCKETS hashes at most, a broadcast of fixed size; the more ids there are, the more rows pass.
+    """
+    at = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(BUCKETS)).cast("int")
+    held = ids.select(at(F.col(ids.columns[0])).alias("bucket")).distinct()
+    return docs.join(F.broadcast(held), at(F.col(key)) == F.col("bucket"), "left_semi")
+
+
 def text_batches(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
     for batch in batches:
         yield batch, batch.column(column).to_pylist()
