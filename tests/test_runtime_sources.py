@@ -35,6 +35,7 @@ def test_events_manifest_and_bindings(spark, df):
     assert rows(got.output()) == [(1, "a"), (2, None)] and got.manifest.status == "succeeded" and got.manifest.correlation == "c1"
     assert sink.names() == [Event.BEGUN, Event.RESOLVED, Event.BOUND, Event.LOWERED, Event.ENDED] and got.manifest.retries == ()
     assert [n.code for n in got.manifest.diagnostics] == []
+    assert [r.attributes["status"] for r in sink.records if "status" in r.attributes] == ["created", "running", "succeeded"]
     assert [r.value for r in sink.records if r.kind == "gauge"] == [2.0] and "Physical Plan" in got.explain()
     got.close()
     for value in (pa.table({"id": [1], "status": ["a"]}), pd.DataFrame({"id": [1], "status": ["a"]})):

@@ -175,7 +175,7 @@ class Runtime:
                 tell.event(Event.TASKS_REPEATED, stages=list(state["retries"]))
             tell.event(Event.ENDED, status=str(status), **attributes)
 
-        tell.event(Event.BEGUN, plan=plan.name)
+        tell.event(Event.BEGUN, plan=plan.name, status=str(ExecutionStatus.CREATED))
 
         def stop() -> None:
             tell.event(Event.STOP_ASKED, reason="timeout" if late.is_set() else "token")
@@ -231,7 +231,7 @@ class Runtime:
 
     def _run(self, plan, bindings, outputs, mode, alive, tell, gates, notes, state) -> Result:  # noqa: ANN001
         compiled = state["plan"] = compile_plan(plan)
-        tell.event(Event.RESOLVED, fingerprint=compiled.fingerprint)
+        tell.event(Event.RESOLVED, fingerprint=compiled.fingerprint, status=str(ExecutionStatus.RUNNING))
         lineage = analyse(compiled, [("input", b.name, b.resource.uri) for b in bindings if b.resource] + [("output", b.name, b.resource.uri) for b in outputs])
         want = {n.name for n in compiled.inputs}
         if len({b.name for b in bindings}) < len(bindings) or {b.name for b in bindings} != want:
