@@ -281,6 +281,23 @@ def test_ctw_probabilities_sum_to_one(spark):
         assert abs(sum(10 ** got[c << 8 | x] for x in range(256)) - 1) < 1e-12
 
 
+def test_held_strings_are_found_and_no_others():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 5, 5000):
+        x = np.unique(r.integers(0, 1 << 48, 2 * n + 3, dtype=np.uint64))
+        r.shuffle(x)
+        held = ctw.Held(x[:n], np.arange(n, dtype=float))
+        got = held.log10(x)
+        assert (got[:n] == np.arange(n)).all() and np.isnan(got[n:]).all()
+
+
+def test_ctw_ends_are_held_whatever_the_words(spark):
+    """All words, and the end, are equally frequent: none is held in memory but the end."""
+    text = " ".join(f"w{i}" for i in range(60))
+    r = ctw.score(spark.createDataFrame([(0, text)], "doc_id long, text string"), depth=2, frequent=10).first()
+    assert (r.n_tokens, r.n_known, r.train_tokens) == (61, 61, 61) and abs(r.base_score - 61 * math.log10(2 / (61 + 61 + 1))) < 1e-9
+
+
 def test_coded_strings():
     texts = [[b"ab", b"c"], [], [b"q"]]
     for depth in (0, 1, 3, 6):

@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from math import log
 
 import numpy as np
@@ -30,8 +31,6 @@ END = b"\n"
 CHUNK = 1 << 19
 #: Distinct words, and strings, that a task holds before it passes on their counts.
 HOLD_WORDS, HOLD_STRINGS = 1 << 17, 1 << 20
-#: Slots of a worker's table of strings that it has scored.
-CACHE_BITS = 20
 
 
 def in_training(doc_id: int | None) -> bool:
@@ -178,40 +177,49 @@ def string_values(strings: DataFrame, levels: list[DataFrame]) -> DataFrame:
 
 
 class Held:
-    """Values of the most frequent strings; :meth:`log10` gives NaN for any other."""
+    """Values of the most frequent strings, in an open-addressing table; :meth:`log10` gives NaN for any other."""
+
+    FREE = np.uint64((1 << 64) - 1)  # no string has so many bytes
 
     def __init__(self, strings: np.ndarray, values: np.ndarray):
-        order = np.argsort(strings)
-        self.strings, self.values = strings[order], values[order]
-        self.cached_strings, self.cached = np.full(1 << CACHE_BITS, (1 << 64) - 1, dtype=np.uint64), np.zeros(1 << CACHE_BITS)
+        self.bits = max(1, (2 * len(strings)).bit_length())
+        self.table = np.full((1 << self.bits, 2), self.FREE)  # a string and its value lie together
+        names, numbers = self.table[:, 0], self.table.view(np.float64)[:, 1]
+        at, left = self._place(strings), np.arange(len(strings))
+        while len(left):
+            free = names[at[left]] == self.FREE
+            names[at[left[free]]] = strings[left[free]]  # of those that ask for one place the last stays
+            there = names[at[left]] == strings[left]
+            numbers[at[left[there]]] = values[left[there]]
+            left = left[~there]
+            at[left] = (at[left] + 1) & (len(names) - 1)
+
+    def _place(self, strings: np.ndarray) -> np.ndarray:
+        return (strings * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def log10(self, strings: np.ndarray) -> np.ndarray:
-        """Of each string; values are kept in a table of fixed size, as most strings come again."""
-        at = (strings * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-        out = self.cached[at]
-        miss = np.flatnonzero(self.cached_strings[at] != strings)
-        if len(miss):
-            new = strings[miss]
-            found = np.full(len(new), np.nan)
-            if len(self.strings):
-                place = np.minimum(np.searchsorted(self.strings, new), len(self.strings) - 1)
-                here = self.strings[place] == new
-                found[here] = self.values[place[here]]
-            out[miss] = found
-            # of strings that share an entry the last one stays, in both arrays
-            self.cached_strings[at[miss]], self.cached[at[miss]] = new, found
+        at = self._place(strings)
+        met = self.table.take(at, axis=0)
+        out = np.where(met[:, 0] == strings, met.view(np.float64)[:, 1], np.nan)
+        left = np.flatnonzero((met[:, 0] != strings) & (met[:, 0] != self.FREE))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.table) - 1)
+            met = self.table.take(at[left], axis=0)
+            here = met[:, 0] == strings[left]
+            out[left[here]] = met.view(np.float64)[here, 1]
+            left = left[~here & (met[:, 0] != self.FREE)]
         return out
 
 
-_loaded: dict[str, tuple[dict[bytes, int], Held]] = {}
+_loaded: dict[str, tuple[dict[bytes, float], Held]] = {}
 
 
-def loaded(words: str, strings: str) -> tuple[dict[bytes, int], Held]:
-    """Frequent words and strings, once for each worker process; older ones go."""
+def loaded(words: str, strings: str) -> tuple[dict[bytes, float], Held]:
+    """Frequent words with log10 of their count and one, and strings, once for each worker process; older ones go."""
     if words not in _loaded:
         _loaded.clear()
         got, own = read_table(words), read_table(strings)
-        _loaded[words] = dict(zip(got.column("word").to_pylist(), got.column("c").to_pylist())), Held(own.column("g").to_numpy().view(np.uint64), own.column("v").to_numpy())
+        _loaded[words] = dict(zip(got.column("word").to_pylist(), np.log10(got.column("c").to_numpy() + 1).tolist())), Held(own.column("g").to_numpy().view(np.uint64), own.column("v").to_numpy())
     return _loaded[words]
 
 
@@ -233,6 +241,10 @@ def string_keys(strings: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(10), len(strings), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
 
 
+#: What a row's own entry holds beside its key.
+MAIN = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())]
+
+
 def score(docs: DataFrame, depth: int = 5, slots: int = 1 << 21, frequent: int = 100_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte): a row for each row.
 
@@ -247,7 +259,7 @@ def score(docs: DataFrame, depth: int = 5, slots: int = 1 << 21, frequent: int =
     power = F.floor(F.log2("c") * 8).cast("int")
     sizes = vocabulary.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("n")).collect()  # 8 x 63 rows at most
     n_train, distinct = sum(x["n"] for x in sizes), sum(x["v"] for x in sizes)
-    words = written(vocabulary.where(power >= least_power(sizes, frequent)), "frequent")
+    words = written(vocabulary.where((power >= least_power(sizes, frequent)) | (F.col("word") == F.lit(END))), "frequent")
     strings = materialise(string_counts(rows, depth, every=True), "strings")
     levels = tree(strings, depth)
     values = materialise(string_values(strings, levels), "values")
@@ -259,13 +271,17 @@ def score(docs: DataFrame, depth: int = 5, slots: int = 1 << 21, frequent: int =
     norm = np.log10(float(n_train + distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, tables = loaded(words, held)
-        fields = [("r", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64()), ("word", pa.binary()), ("tf", pa.int64())]
-        ends = counts.get(END, 0)
+        logs, tables = loaded(words, held)
+        end = logs.get(END)
+
+        def out(r: np.ndarray, keys: pa.Array, n: np.ndarray, main: list[pa.Array] | None = None) -> pa.RecordBatch:
+            kinds = [pa.field(name, kind) for name, kind in MAIN]
+            whole = pa.nulls(len(keys), pa.struct(kinds)) if main is None else pa.StructArray.from_arrays(main, fields=kinds)
+            return pa.RecordBatch.from_arrays([pa.array(r), keys, pa.array(n), whole], ["r", "word", "tf", "main"])
+
         for chunk in _chunks(batches):
-            texts = [text_words(t) for _, _, t in chunk]
+            texts, numbers = [text_words(t) for _, _, t in chunk], np.array([x[0] for x in chunk], dtype=np.int64)
             strings, owner = coded(texts, depth)
-            sizes = np.bincount(owner, minlength=len(chunk))
             found = tables.log10(strings)
             lost = np.isnan(found)
             scores = np.bincount(owner, weights=np.where(lost, 0, found), minlength=len(chunk))
@@ -274,35 +290,33 @@ def score(docs: DataFrame, depth: int = 5, slots: int = 1 << 21, frequent: int =
                 order = np.lexsort((g, of))
                 g, of = g[order], of[order]
                 first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (of[1:] != of[:-1])]))
-                n, numbers, zeros = len(first), np.array([x[0] for x in chunk], dtype=np.int64), np.zeros(len(first))
-                columns = [numbers[of[first]], pa.nulls(n, pa.int64()), zeros, zeros, zeros, zeros, zeros, string_keys(g[first]), np.diff(np.append(first, len(g)))]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.astype(t.to_pandas_dtype())) for c, (_, t) in zip(columns, fields)], schema=pa.schema(fields))
-            out, rare = [], []
-            for (r, doc_id, _), said, s, b in zip(chunk, texts, scores.tolist(), sizes.tolist()):
-                known, base = int(ends > 0), np.log10(ends + 1) - norm
-                hits = []
-                for w, n in Counter(said).items():
-                    c = counts.get(w)
-                    if c is None:
-                        rare.append((r, None, 0, 0, 0.0, 0.0, 0, w, n))
-                    else:
-                        known += n
-                        hits.append((c, n))
-                if hits:
-                    c, n = np.array(hits, dtype=float).T
-                    base += float((np.log10(c + 1) * n).sum() - norm * n.sum())
-                # a key of its own, which is no word, deals the row out and meets nothing
-                out.append((r, doc_id, len(said) + 1, known, float(base), s, b, END + r.to_bytes(8, "little"), 0))
-            for part in (out, rare):
-                if part:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*part), fields)], schema=pa.schema(fields))
-
-    scored = rows.mapInArrow(run, "r long, doc_id long, n_tokens long, n_known long, base double, score double, n_bytes long, word binary, tf long")
+                yield out(numbers[of[first]], string_keys(g[first]), np.diff(np.append(first, len(g))))
+            bases, known = np.zeros(len(chunk)), np.zeros(len(chunk), dtype=np.int64)
+            rare, times, sizes = [], [], []
+            for i, said in enumerate(texts):
+                got = np.fromiter(map(logs.get, said, repeat(np.nan)), dtype=float, count=len(said))
+                gone = np.isnan(got)
+                seen = Counter(said[k] for k in np.flatnonzero(gone).tolist())
+                rare.extend(seen.keys())
+                times.extend(seen.values())
+                sizes.append(len(seen))
+                known[i] = len(said) - gone.sum() + (end is not None)
+                bases[i] = got[~gone].sum() + (end or 0.0) - norm * known[i] - (0 if end is not None else norm)
+            if rare:
+                yield out(np.repeat(numbers, sizes), pa.array(rare, pa.binary()), np.array(times, dtype=np.int64))
+            # a key of its own, which is no word, deals the row out and meets nothing
+            keys = pa.array([END + x[0].to_bytes(8, "little") for x in chunk], pa.binary())
+            main = [[x[1] for x in chunk], [len(x) + 1 for x in texts], known, bases, scores, np.bincount(owner, minlength=len(chunk))]
+            yield out(numbers, keys, np.zeros(len(chunk), dtype=np.int64), [pa.array(c, kind) for c, (_, kind) in zip(main, MAIN)])
+
+    scored = rows.mapInArrow(run, "r long, word binary, tf long, main struct<doc_id:long,n_tokens:long,n_known:long,base:double,score:double,n_bytes:long>")
     c, string = F.coalesce("c", F.lit(0)), F.col("v").isNotNull()
     key = F.concat(F.lit(END + b"s"), F.unhex(F.lpad(F.hex("g"), 16, "0")))
     entries = vocabulary.select("word", "c", F.lit(None).cast("double").alias("v")).union(values.where(often < least).select(key.alias("word"), F.lit(0).cast("long").alias("c"), "v"))
-    base = F.when(string, 0.0).otherwise((F.log10(c + 1) - float(norm)) * F.col("tf")) + F.col("base")
-    met = scored.join(entries, "word", "left").select("r", "doc_id", "n_tokens", F.when(c > 0, F.col("tf")).otherwise(0).alias("tf_known"), "n_known", base.alias("base"), (F.col("score") + F.coalesce(F.col("v") * F.col("tf"), F.lit(0.0))).alias("score"), "n_bytes")
-    by_row = met.groupBy("r").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.col("tf_known")).alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"), F.sum("n_bytes").alias("n_bytes"))
+    base = F.when(string, 0.0).otherwise((F.log10(c + 1) - float(norm)) * F.col("tf"))
+    met = scored.join(entries, "word", "left").select("r", "main", F.when(c > 0, F.col("tf")).otherwise(0).alias("known"), base.alias("base"), (F.col("v") * F.col("tf")).alias("score"))
+    whole = {name: F.max(f"main.{name}") for name, _ in MAIN}  # of one row
+    none = F.lit(0.0)
+    by_row = met.groupBy("r").agg(whole["doc_id"].alias("doc_id"), whole["n_tokens"].alias("n_tokens"), (whole["n_known"] + F.sum("known")).alias("n_known"), (whole["base"] + F.sum("base")).alias("base_score"), (whole["score"] + F.coalesce(F.sum("score"), none)).alias("score"), whole["n_bytes"].alias("n_bytes"))
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     return by_row.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", (-F.col("score") * float(np.log2(10)) / F.col("n_bytes")).alias("bits_per_byte"))
