@@ -152,11 +152,6 @@ def maybe_among(docs: DataFrame, ids: DataFrame, key: str = "_k") -> DataFrame:
     return docs.join(F.broadcast(held), at(F.col(key)) == F.col("bucket"), "left_semi")
 
 
-def text_batches(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
-    for batch in batches:
-        yield batch, batch.column(column).to_pylist()
-
-
 def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Rows sorted by ``keys`` in, one table for each group out; holds one group and one batch at a time."""
     held: list[pa.RecordBatch] = []

@@ -46,7 +46,7 @@ def starts(words: list[bytes], size: int = SIZE, step: int = STEP) -> np.ndarray
     m = len(words) - size + 1
     if m < 1:
         return np.empty(0, dtype=np.int64)
-    if len(_hashes) > 500_000:  # changes no result
+    if len(_hashes) > 200_000:  # changes no result
         _hashes.clear()
     h = np.fromiter(map(_hashes.__getitem__, words[: m + 1]), dtype=np.uint64, count=min(m + 1, len(words)))
     kinds, rank = np.unique(h, return_inverse=True)
@@ -88,15 +88,18 @@ def units(docs: DataFrame, unit: str = "passage", min_words: int = 10) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["d1", "d2", "k", "doc_id", "i"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-        for batch in batches:
-            out: list[tuple] = []
-            for k, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("_k", "doc_id", "text"))):
-                out.extend((*d, k, doc_id, i) for i, d in text_units(text, unit, min_words))
-                if len(out) > 50_000:
+        try:
+            for batch in batches:
+                out: list[tuple] = []
+                for k, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("_k", "doc_id", "text"))):
+                    out.extend((*d, k, doc_id, i) for i, d in text_units(text, unit, min_words))
+                    if len(out) > 50_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                        out = []
+                if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+        finally:
+            _hashes.clear()  # a worker that waits for its next task holds none
 
     return docs.select("_k", F.col("doc_id").cast("long"), "text").mapInArrow(run, "d1 long, d2 long, k long, doc_id long, i int")
 
