@@ -38,7 +38,10 @@ def features(text):
 TEXTS = [None, "", "   ", "a", "a b", "a b c", "a b c a b c", "x x x x x", "a b c d a b c d e", "é|é <x> #\n\nq\n q\nq\nq", "l m n\x1co\n" * 4, " ".join(random.Random(0).choice("abc") for _ in range(300)), "one\rtwo\vthree\ffour"]
 
 
-def test_features(spark):
+@pytest.mark.parametrize("place", [quality_rules.PLACE, 3])
+def test_features(spark, place, monkeypatch):
+    """With either kind of sort key."""
+    monkeypatch.setattr(quality_rules, "PLACE", place)
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.features(df).collect()}
     assert got == {i: features(t) for i, t in enumerate(TEXTS)}
@@ -49,9 +52,12 @@ def signed(x):
 
 
 def spark_hash(*words):
+    """Of a word, or of the hashes of several."""
+    if len(words) == 1:
+        return signed(xxh64_intdigest(words[0].encode(), 42))
     h = 42
     for w in words:
-        h = xxh64_intdigest(w.encode(), h)
+        h = xxh64_intdigest(xxh64_intdigest(w.encode(), 42).to_bytes(8, "little"), h)
     return signed(h)
 
 

@@ -30,47 +30,72 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def repeat_words(w: Column, window: int = 3) -> Column:
+#: Low bits of a sort key that hold a place; longer texts take keys of two parts.
+PLACE = 13
+
+
+def repeat_words(h: Column, window: int = 3) -> Column:
     """Words that lie in a run of ``window`` words found twice or more in the text, the first included.
 
-    Runs are told apart by 64-bit hashes.
+    ``h`` are the words' hashes; runs are told apart by 64-bit hashes of them.
     """
+    mask = (1 << PLACE) - 1
+
+    def run(h: Column, i: Column) -> Column:
+        return F.xxhash64(*(F.get(h, i + k) for k in range(window)))
 
     def covered(places: Column) -> Column:
         steps = F.zip_with(places, F.slice(places, 2, F.greatest(F.size(places), F.lit(1))), lambda a, b: F.least(F.lit(window), F.coalesce(b - a, F.lit(window))))
         return F.aggregate(steps, F.lit(0), lambda n, x: n + x)
 
-    def places(runs: Column) -> Column:
-        pairs = F.filter(F.zip_with(runs, F.slice(runs, 2, F.size(runs)), lambda a, b: F.struct((a["h"] == b["h"]).alias("same"), a["p"].alias("a"), b["p"].alias("b"))), lambda x: F.coalesce(x["same"], F.lit(False)))
+    def places(pairs: Column) -> Column:
         return let(pairs, lambda x: F.sort_array(F.array_union(x["a"], x["b"])))
 
-    def count(w: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(w) - window)
-        runs = F.transform(at, lambda i: F.struct(F.xxhash64(*(F.get(w, i + k) for k in range(window))).alias("h"), i.alias("p")))
-        return let(F.sort_array(runs), lambda r: let(places(r), covered))
+    def short(h: Column) -> Column:
+        """Keys of one number: the upper bits of the run's hash and its place; neighbours that agree are compared in full."""
+        keys = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda i: run(h, i).bitwiseAND(F.lit(~mask).cast("long")).bitwiseOR(i.cast("long"))))
+        place = lambda key: key.bitwiseAND(F.lit(mask).cast("long")).cast("int")
+
+        def pairs(s: Column) -> Column:
+            near = F.filter(F.sequence(F.lit(0), F.size(s) - 2), lambda j: F.get(s, j).bitwiseXOR(F.get(s, j + 1)).between(F.lit(0), F.lit(mask)))
+            two = F.transform(near, lambda j: F.struct(place(F.get(s, j)).alias("a"), place(F.get(s, j + 1)).alias("b")))
+            return F.filter(two, lambda x: run(h, x["a"]) == run(h, x["b"]))
+
+        return let(keys, pairs)
 
-    return F.when(F.size(w) > window, let(w, count)).otherwise(F.lit(0)).cast("long")
+    def long(h: Column) -> Column:
+        runs = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(h) - window), lambda i: F.struct(run(h, i).alias("h"), i.alias("p"))))
+        pairs = lambda r: F.filter(F.zip_with(r, F.slice(r, 2, F.size(r)), lambda a, b: F.struct((a["h"] == b["h"]).alias("same"), a["p"].alias("a"), b["p"].alias("b"))), lambda x: F.coalesce(x["same"], F.lit(False)))
+        return F.transform(let(runs, pairs), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b")))
+
+    def count(h: Column) -> Column:
+        return let(places(F.when(F.size(h) <= mask, short(h)).otherwise(long(h))), covered)
+
+    return F.when(F.size(h) > window, let(h, count)).otherwise(F.lit(0)).cast("long")
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """``docs`` with the array ``_w`` of words and n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
+    """``docs`` with the array ``_h`` of the words' hashes and n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    w = F.col("_w")
-    return docs.withColumn("_w", words(F.col("text"))).withColumns({
-        "n_words": F.size(w).cast("long"),
-        "word_chars": F.char_length(F.array_join(w, "")).cast("long"),
+    out = docs.withColumn("_w", words(F.col("text"))).withColumns({"_h": hashes(F.col("_w")), "word_chars": F.char_length(F.array_join(F.col("_w"), "")).cast("long")}).drop("_w")
+    return out.withColumns({
+        "n_words": F.size("_h").cast("long"),
         "n_symbols": F.char_length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeat_words(w),
+        "n_repeat_words": repeat_words(F.col("_h")),
     })
 
 
-def grams(w: Column, buckets: int) -> Column:
-    """Buckets of the words and word pairs."""
-    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), F.lit(buckets)).cast("int"))
-    two = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int")))
-    return F.concat(one, F.filter(two, lambda x: x.isNotNull()))
+def hashes(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
+def grams(h: Column, buckets: int) -> Column:
+    """Buckets of the words and word pairs, from the words' hashes."""
+    one = F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
+    two = F.when(F.size(h) > 1, F.transform(F.sequence(F.lit(1), F.size(h) - 1), lambda i: F.pmod(F.xxhash64(F.get(h, i - 1), F.get(h, i)), F.lit(buckets)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.concat(one, two)
 
 
 @dataclass(frozen=True)
@@ -80,9 +105,9 @@ class Model:
     weights: tuple[int, ...]
     threshold: int
 
-    def total(self, w: Column) -> Column:
+    def total(self, h: Column) -> Column:
         table = F.expr(f"cast(split('{','.join(map(str, self.weights))}', ',') as array<int>)")
-        return F.aggregate(grams(w, len(self.weights)), F.lit(0).cast("long"), lambda s, b: s + F.get(table, b))
+        return F.aggregate(grams(h, len(self.weights)), F.lit(0).cast("long"), lambda s, b: s + F.get(table, b))
 
     def passes(self, total: Column, n_words: Column) -> Column:
         return total >= self.threshold * F.greatest(2 * n_words - 1, F.lit(0))
@@ -105,8 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 14, limit: int =
     sample = labelled_sample(labels, limit).groupBy("doc_id").agg(F.bool_and("good").alias("good"))
     part = F.when(~F.col("good"), F.lit("bad")).when(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, F.lit("trusted")).otherwise(F.lit("good"))
     sample = F.broadcast(sample.select("doc_id", part.alias("part")))  # 2 x limit rows at most
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("_w")).join(sample, "doc_id", "left")
-    counts = marked.select(F.explode(grams(F.col("_w"), buckets)).alias("bucket"), "part")
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), hashes(words(F.col("text"))).alias("_h")).join(sample, "doc_id", "left")
+    counts = marked.select(F.explode(grams(F.col("_h"), buckets)).alias("bucket"), "part")
     rows = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), *(F.count_if(F.col("part") == p).alias(p) for p in ("trusted", "good", "bad")))
     t, r = F.sum("trusted").over(everything()), F.sum("raw").over(everything())
     share = (F.col("raw") + 1) / (r + buckets)
@@ -152,6 +177,6 @@ def judge(docs: DataFrame, model: Model, min_words: int = 50, repeat_percent: in
     columns = [c for c in docs.columns if c not in JUDGED]
     rest = [F.col(f"`{c}`") for c in columns if c != "text"]
     rows = docs.select("text", F.struct(*(rest or [F.lit(0).alias("none")])).alias("_row"))
-    out = features(rows).withColumn("base_failed", failed).withColumn("_total", model.total(F.col("_w")))
+    out = features(rows).withColumn("base_failed", failed).withColumn("_total", model.total(F.col("_h")))
     out = out.withColumn("score", F.when(n > 0, F.col("_total") / (2 * n - 1))).withColumn("kept", ~F.col("base_failed") & model.passes(F.col("_total"), n))
     return out.select(*(F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in columns), *JUDGED)
