@@ -93,9 +93,13 @@ def hashes(w: Column) -> Column:
 
 def grams(h: Column, buckets: int) -> Column:
     """Buckets of the words and word pairs, from the words' hashes."""
-    one = F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
-    two = F.when(F.size(h) > 1, F.transform(F.sequence(F.lit(1), F.size(h) - 1), lambda i: F.pmod(F.xxhash64(F.get(h, i - 1), F.get(h, i)), F.lit(buckets)).cast("int"))).otherwise(F.array().cast("array<int>"))
-    return F.concat(one, two)
+
+    def both(h: Column) -> Column:
+        one = F.transform(h, lambda x: F.pmod(x, F.lit(buckets)).cast("int"))
+        two = F.zip_with(h, F.slice(h, 2, F.greatest(F.size(h), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int")))
+        return F.concat(one, F.filter(two, lambda x: x.isNotNull()))
+
+    return let(h, both)  # where Catalyst moves the hashes into this expression, they are still made once
 
 
 @dataclass(frozen=True)
