@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import materialise, scope, sorted_groups
 from .components import components, forest
+from .simhash import places
 
 #: Rounding in double precision of sums of a few thousand products of numbers up to one.
 SLACK = 1e-9
@@ -46,7 +47,7 @@ def open_pairs(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...], thre
         a = slice(at, at + step)
         dot = lq[a].astype(kind) @ turned
         bound = le[a, None] * (1 + re[None, :]) + re[None, :] + SLACK
-        i, j = np.nonzero(dot * (ls[a, None] * rs[None, :]) + bound >= threshold)
+        i, j = places(dot * (ls[a, None] * rs[None, :]) + bound >= threshold)
         yield i + at, j
 
 

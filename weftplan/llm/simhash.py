@@ -64,12 +64,19 @@ def near_cells(radius: int) -> list[tuple[int, ...]]:
     return [d for d in product(span, repeat=QUARTERS) if sum(map(abs, d)) <= radius and d >= (0,) * QUARTERS]
 
 
+def places(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of what is true in a matrix, most of which is not."""
+    if not hit.any():
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    return np.divmod(np.flatnonzero(hit), hit.shape[1])
+
+
 def _pairs(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links between two tiles, as a forest."""
     a, b = [], []
     step = max(1, (1 << 20) // max(1, len(right)))
     for at in range(0, len(left), step):
-        i, j = np.nonzero(np.bitwise_count(left[at : at + step, None] ^ right[None, :]) <= radius)
+        i, j = places(np.bitwise_count(left[at : at + step, None] ^ right[None, :]) <= radius)
         own = left[at + i] != right[j]
         if own.any():
             x, y = forest(left[at + i][own], right[j][own])
