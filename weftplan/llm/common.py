@@ -205,6 +205,8 @@ class CachingEncoder:
     LIMIT = 600_000
     #: Pieces that are joined to one text.
     JOIN = 256
+    #: Pieces that stay when others go, and in a worker that waits for its next task.
+    keep = 100_000
 
     def __init__(self, path: str):
         import os
@@ -218,8 +220,9 @@ class CachingEncoder:
         self.starts[[i for token, i in vocabulary.items() if token[0] in "\u0120\u010a"]] = True  # how the vocabulary writes a space and a newline
         self.clear()
 
-    def trim(self, keep: int = 100_000) -> None:
+    def trim(self, keep: int | None = None) -> None:
         """Forget all but the first pieces, which are those that texts share most."""
+        keep = keep or self.keep
         if len(self.numbers) != self.used:  # a task broke off while it learned
             self.clear()
         elif self.used > keep:
@@ -268,7 +271,11 @@ class CachingEncoder:
     @staticmethod
     def _plain(t: str, parts: list[str]) -> bool:
         """Whether single spaces and newlines, each between other characters, are the only white space."""
-        return len(t.split()) == len(parts) and not (t[0].isspace() or t[-1].isspace() or "  " in t or " \n" in t or "\n " in t or "\n\n" in t)
+        if t[0].isspace() or t[-1].isspace() or "  " in t or " \n" in t or "\n " in t or "\n\n" in t:
+            return False
+        if t.isascii():
+            return not any(c in t for c in "\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+        return len(t.split()) == len(parts)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text (null: none) as little-endian unsigned 32-bit integers."""
@@ -279,7 +286,7 @@ class CachingEncoder:
         ends, odd = [], {}
         for i, t in enumerate(texts):
             if t:
-                parts = t.replace("\n", " \n").split(" ")
+                parts = (t.replace("\n", " \n") if "\n" in t else t).split(" ")
                 if self._plain(t, parts):
                     parts[0] = (parts[0],)
                     found.extend(map(get, parts))
@@ -306,9 +313,10 @@ def encoder(path: str) -> CachingEncoder:
     return _encoders[path]
 
 
-def encoded(batches: Iterable[pa.RecordBatch], path: str, step: int = 256) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of each batch with the ids of their texts."""
+def encoded(batches: Iterable[pa.RecordBatch], path: str, step: int = 256, keep: int = CachingEncoder.keep) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of each batch with the ids of their texts; ``keep`` pieces stay from task to task."""
     enc = encoder(path)
+    enc.keep = keep
     try:
         for batch in batches:
             for a in range(0, batch.num_rows, step):

@@ -140,7 +140,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, tokenizer: str |
         fs.create_dir(base, recursive=True)
         name = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}.tokz"
         writer = sink = None
-        for part, ids in encoded(batches, tokenizer):
+        for part, ids in encoded(batches, tokenizer, keep=450_000):  # some 100 MB of a worker
             if writer is None:
                 sink = fs.open_output_stream(f"{base}/{name}")
                 writer = ShardWriter(sink, level)
