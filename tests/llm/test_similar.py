@@ -5,6 +5,7 @@ import pytest
 
 from test_components_simhash import union_find
 from weftplan.llm import similar
+from weftplan.llm.simhash import fingerprint
 
 
 def shingle_set(text, size=5):
@@ -86,6 +87,55 @@ def test_near_duplicates_against_brute_force(spark, seed):
     assert sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs) and len(pairs) > 50
 
 
+def family(seed, n=70):
+    """Copies of copies of a text, most of them alike to some others only."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    texts = [[word() for _ in range(120)]]
+    while len(texts) < n:
+        copy = list(r.choice(texts))
+        for _ in range(r.choice([1, 2, 3, 4, 5])):
+            copy[r.randrange(len(copy))] = word()
+        texts.append(copy)
+    return [" ".join(t) for t in texts]
+
+
+@pytest.mark.parametrize("tile", [20, 1 << 16])
+def test_denied_links_of_a_forest_hide_no_others(spark, tile):
+    """A link that SimHash finds and the texts bear out counts where nearer fingerprints of other texts lie between."""
+    texts = [t for seed in range(4) for t in family(seed)]
+    got = {r.doc_id: r.component_id for r in similar.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), tile=tile).collect()}
+    fps = [fingerprint(t) for t in texts]
+    close = [(a, b) for a in range(len(texts)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 12]
+    pairs = [(a, b) for a, b in close if alike(texts[a], texts[b])]
+    groups = union_find(pairs)
+    assert got == {i: groups.get(i, i) for i in range(len(texts))} and len(close) > 2 * len(pairs) > 200
+
+
+@pytest.mark.parametrize("tile", [20, 1 << 16])
+def test_open_links_are_all_that_can_be_similar(spark, tile, monkeypatch):
+    monkeypatch.setattr(similar, "BITS", 128)
+    texts = [t for seed in range(3) for t in family(seed, 40)] + ["", "a b", "a b c d e f"]
+    fps, sets = [fingerprint(t) for t in texts], [similar.shingles(t) for t in texts]
+    part = [i if i % 3 else i // 40 for i in range(len(texts))]
+    sketches = [similar.sketch(s) for s in sets]
+    differ = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(sketches[a], sketches[b]))
+    rows = [(i, f - (1 << 64) if f >> 63 else f, part[i], len(sets[i]), sketches[i]) for i, f in enumerate(fps)]
+    nodes = spark.createDataFrame(rows, "node long, fp long, part long, n long, sketch binary")
+    want = set()
+    for b in range(len(texts)):
+        for a in range(b):
+            apart, total = len(np.setxor1d(sets[a], sets[b])), len(sets[a]) + len(sets[b])
+            assert differ(a, b) <= apart
+            if (fps[a] ^ fps[b]).bit_count() <= 12 and part[a] != part[b] and 5 * min(len(sets[a]), len(sets[b])) >= 4 * max(len(sets[a]), len(sets[b])) and 9 * differ(a, b) <= total:
+                want.add((a, b))
+    assert want > {(a, b) for b in range(len(texts)) for a in range(b) if part[a] != part[b] and (fps[a] ^ fps[b]).bit_count() <= 12 and alike(texts[a], texts[b])}
+    every = [(r.a, r.b) for r in similar.open_links(nodes, 0.8, 12, tile, True).collect()]
+    assert len(every) == len(want) and set(every) == want
+    some = {(r.a, r.b) for r in similar.open_links(nodes, 0.8, 12, tile, False).collect()}
+    assert some < want and union_find(some) == union_find(want)
+
+
 def test_near_duplicates_hard_rows(spark, hard_docs):
     got = similar.near_duplicates(hard_docs).collect()
     assert len(got) == hard_docs.count() and {r.doc_id: r.component_id for r in got if r.doc_id} == {1: 1, 2: 2, 3: 2, 4: 4, 5: 4, 6: 1, 7: 2, 8: 8, 9: 9, 10: 10, 11: 10}

@@ -4,6 +4,8 @@ Distinct texts get a 64-bit SimHash. Fingerprints lie in tiles by population cou
 parts of tiles, whose counts differ beyond the radius are skipped, all others compared with exclusive-or and bit counts.
 A tile pair gives the links of a closest-first spanning forest, so a group of k copies gives k links, not k squared.
 Each link then stands only if the two texts' sets of shingles have the asked similarity (Jaccard), computed exactly.
+Where some do not, the pairs between the parts that the others join are searched again, with bounds on the similarity
+from set sizes and parity sketches, and every pair that these leave open is computed: no pair within the radius is lost.
 
 At the least similarity a pair's distance is spread around eight bits of 64 (three-word shingles, five-word similarity
 0.8) with a deviation of 2.6, so the radius of 12 meets some 95 of 100 such pairs, and all but a few of more alike ones.
@@ -11,7 +13,7 @@ At the least similarity a pair's distance is spread around eight bits of 64 (thr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,10 @@ from .simhash import fingerprint, places
 
 #: Pairs that are compared at a time.
 BLOCK = 1 << 19
+#: Bits of a set's sketch.
+BITS = 1024
+#: For rounding: bounds on counts never drop a pair that meets them.
+SLACK = 1e-6
 
 
 def text_words(text: str | None) -> list[bytes]:
@@ -105,13 +111,12 @@ class Forest:
         return self.links
 
 
-def tile_links(left: np.ndarray, right: np.ndarray, radius: int, alone: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, distance): a closest-first forest of the places within ``radius`` bits, between two tiles or in one."""
+def near(left: np.ndarray, right: np.ndarray, radius: int, alone: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance): all places within ``radius`` bits, between two tiles or (i < j) in one, block by block."""
     order = np.argsort(np.bitwise_count(right), kind="stable")
     sorted_right, bits = right[order], np.bitwise_count(right)[order].astype(np.int64)
     own = np.argsort(np.bitwise_count(left), kind="stable")
-    shift = 0 if alone else len(left)
-    forest, step = Forest(shift + len(right), radius), max(1, BLOCK // max(1, len(right)))
+    step = max(1, BLOCK // max(1, len(right)))
     for at in range(0, len(own), step):
         rows = own[at : at + step]
         low = np.searchsorted(bits, int(np.bitwise_count(left[rows[0]])) - radius)
@@ -123,15 +128,24 @@ def tile_links(left: np.ndarray, right: np.ndarray, radius: int, alone: bool) ->
         x, y, d = rows[i], order[low + j], distance[i, j].astype(np.int64)
         if alone:
             x, y, d = (c[x < y] for c in (x, y, d))
+        yield x, y, d
+
+
+def tile_links(left: np.ndarray, right: np.ndarray, radius: int, alone: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, distance): a closest-first forest of the places within ``radius`` bits, between two tiles or in one."""
+    shift = 0 if alone else len(left)
+    forest = Forest(shift + len(right), radius)
+    for x, y, d in near(left, right, radius, alone):
         forest.add(x, y + shift, d)
     x, y, d = forest.thin()
     return x, y - shift, d
 
 
-def links(nodes: DataFrame, radius: int = 12, tile: int = 1 << 16) -> DataFrame:
-    """(a, b): links between ``node`` of rows (node long, fp long) within ``radius`` bits, a forest for each tile pair.
+def in_tiles(nodes: DataFrame, radius: int, tile: int, pick: Callable[[pa.Table, pa.Table, bool], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """(a, b): what ``pick`` takes (places) from the tile pairs of ``nodes`` (node long, fp long, more), a less than b.
 
-    Population counts are 65 at most, so their histogram goes to the driver and back as a table of bands.
+    Any two nodes that can be within ``radius`` bits meet in one tile pair. Population counts are 65 at most, so their
+    histogram goes to the driver and back as a table of bands.
     """
     spark = nodes.sparkSession
     count = F.bit_count("fp").cast("int")
@@ -144,43 +158,126 @@ def links(nodes: DataFrame, radius: int = 12, tile: int = 1 << 16) -> DataFrame:
             bands.append([c, c, have[c]])
     tiles = [-(-n // tile) for _, _, n in bands]
     first = [sum(tiles[:k]) for k in range(len(bands))]
-    near = [[m for m, (lo, hi, _) in enumerate(bands) if lo - b[1] <= radius and b[0] - hi <= radius] for b in bands]
-    rows = [(c, first[k], tiles[k], first[near[k][0]], first[near[k][-1]] + tiles[near[k][-1]] - 1) for k, b in enumerate(bands) for c in have if b[0] <= c <= b[1]]
+    close = [[m for m, (lo, hi, _) in enumerate(bands) if lo - b[1] <= radius and b[0] - hi <= radius] for b in bands]
+    rows = [(c, first[k], tiles[k], first[close[k][0]], first[close[k][-1]] + tiles[close[k][-1]] - 1) for k, b in enumerate(bands) for c in have if b[0] <= c <= b[1]]
     table = spark.createDataFrame(rows, "c int, first int, tiles int, low int, high int")
-    dealt = nodes.select("node", "fp", count.alias("c")).join(F.broadcast(table), "c")  # 65 rows
+    dealt = nodes.withColumn("c", count).join(F.broadcast(table), "c")  # 65 rows
     dealt = dealt.withColumn("own", F.col("first") + F.pmod(F.xxhash64("fp", "node"), "tiles").cast("int"))
-    left = dealt.select(F.col("own").alias("i"), F.explode(F.sequence("own", "high")).alias("j"), F.lit(0).cast("byte").alias("side"), "node", "fp")
-    right = dealt.where("low < own").select(F.explode(F.sequence("low", F.col("own") - 1)).alias("i"), F.col("own").alias("j"), F.lit(1).cast("byte").alias("side"), "node", "fp")
+    left = dealt.select(F.col("own").alias("i"), F.explode(F.sequence("own", "high")).alias("j"), F.lit(0).cast("byte").alias("side"), *nodes.columns)
+    right = dealt.where("low < own").select(F.explode(F.sequence("low", F.col("own") - 1)).alias("i"), F.col("own").alias("j"), F.lit(1).cast("byte").alias("side"), *nodes.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in sorted_groups(batches, ["i", "j"]):
-            side, node, fp = group.column("side").to_numpy(), group.column("node").to_numpy(), group.column("fp").to_numpy().view(np.uint64)
+            side, node = group.column("side").to_numpy(), group.column("node").to_numpy()
             alone = group.column("i")[0] == group.column("j")[0]
             l, r = (np.flatnonzero(side == s) for s in (0, 0 if alone else 1))
-            x, y, _ = tile_links(fp[l], fp[r], radius, alone)
-            yield pa.RecordBatch.from_arrays([pa.array(node[l][x]), pa.array(node[r][y])], ["a", "b"])
+            for x, y in pick(group.take(l), group.take(r), alone):
+                a, b = node[l][x], node[r][y]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     both = left.union(right).withColumn("at", F.xxhash64("i", "j"))
-    return both.repartition("at").sortWithinPartitions("i", "j").select("i", "j", "side", "node", "fp").mapInArrow(run, "a long, b long")
+    return both.repartition("at").sortWithinPartitions("i", "j").select("i", "j", "side", *nodes.columns).mapInArrow(run, "a long, b long")
+
+
+def links(nodes: DataFrame, radius: int = 12, tile: int = 1 << 16) -> DataFrame:
+    """(a, b): links between ``node`` of rows (node long, fp long) within ``radius`` bits, a forest for each tile pair."""
+
+    def pick(left: pa.Table, right: pa.Table, alone: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        fps = [t.column("fp").to_numpy().view(np.uint64) for t in (left, right)]
+        yield tile_links(*fps, radius, alone)[:2]
+
+    return in_tiles(nodes, radius, tile, pick)
 
 
-def similar(pairs: DataFrame, docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows (a, b) of ``pairs`` whose texts (``docs``: _k, text) share that part of their distinct shingles at least."""
-    nodes = materialise(pairs.select(F.col("a").alias("_k")).union(pairs.select("b")).distinct(), "nodes")
+def open_links(nodes: DataFrame, similarity: float, radius: int, tile: int, every: bool) -> DataFrame:
+    """(a, b): pairs of ``nodes`` (node, fp, part, n, sketch) within ``radius`` bits, of different parts, that sizes ``n``
+    and :func:`sketch` of their sets leave open: ``every`` one, or a forest for each tile pair, the likeliest first.
+    """
+
+    def pick(left: pa.Table, right: pa.Table, alone: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        (fp, part, n, bits), (fp2, part2, n2, bits2) = (
+            (t.column("fp").to_numpy().view(np.uint64), t.column("part").to_numpy(), t.column("n").to_numpy(), np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64))
+            for t in (left, right)
+        )
+        shift = 0 if alone else len(fp)
+        forest = Forest(shift + len(fp2), radius)
+        for i, j, _ in near(fp, fp2, radius, alone):
+            apart = (part[i] != part2[j]) & (np.minimum(n[i], n2[j]) >= similarity * np.maximum(n[i], n2[j]) - SLACK)
+            i, j = i[apart], j[apart]
+            for at in range(0, len(i), 1 << 14):  # some 2 MB of sketches
+                x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                differ = np.bitwise_count(bits[x] ^ bits2[y]).sum(axis=1, dtype=np.int64) * (1 + similarity)
+                most = (n[x] + n2[y]) * (1 - similarity) + SLACK
+                left_open = differ <= most
+                x, y = x[left_open], y[left_open]
+                if not len(x):
+                    continue
+                if every:
+                    yield x, y
+                else:
+                    forest.add(x, y + shift, (radius * differ[left_open] / most[left_open]).astype(np.int64))
+        if not every:
+            x, y, _ = forest.thin()
+            yield x, y - shift
+
+    return in_tiles(nodes, radius, tile, pick)
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """BITS bits, each whether an odd number of the set's hashes falls on it: those of two sets differ in at most as many
+    bits as there are hashes in just one of the sets."""
+    return np.packbits((np.bincount((s & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    """The distinct ``_k`` of (a, b)."""
+    return pairs.select(F.col("a").alias("_k")).union(pairs.select("b")).distinct()
+
+
+def shingle_sets(nodes: DataFrame, docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(k, s, n, sketch): the distinct shingles of the texts (``docs``: _k, text) of ``nodes`` (_k), and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [shingles(t, shingle).view(np.int64) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("_k"), pa.array(sets, pa.list_(pa.int64()))], ["k", "s"])
+                sets = [shingles(t, shingle) for t in part.column("text").to_pylist()]
+                lists = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("_k"), lists, pa.array([len(s) for s in sets], pa.int64()), pa.array(map(sketch, sets), pa.binary())], ["k", "s", "n", "sketch"])
+
+    return maybe_among(docs.select("_k", "text"), nodes).join(nodes, "_k").mapInArrow(run, "k long, s array<long>, n long, sketch binary")
 
-    sets = materialise(maybe_among(docs.select("_k", "text"), nodes).join(nodes, "_k").mapInArrow(run, "k long, s array<long>"), "shingles")
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """The rows (a, b) of ``pairs`` whose ``sets`` (k, s) share that part of their distinct shingles at least."""
     met = pairs.join(sets.select(F.col("k").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("k").alias("b"), F.col("s").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     return met.withColumn("n", both).where(F.col("n") >= similarity * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b")
 
 
+def similar_parts(classes: DataFrame, docs: DataFrame, similarity: float, shingle: int, radius: int, tile: int) -> DataFrame:
+    """(node, component): the components of all ``classes`` (node, fp) that are within ``radius`` bits and similar.
+
+    A forest's links that the texts deny leave open whether others join its parts, and so there are up to three rounds:
+    a forest by SimHash; one by sketches, between parts; every pair that is still open. A round's forest touches every
+    node that has an open pair, so the next round takes its nodes only; where all of its links hold, nothing is open.
+    """
+    pairs = materialise(links(classes, radius, tile), "pairs")
+    sets = materialise(shingle_sets(materialise(ends(pairs), "nodes"), docs, shingle), "shingles")
+    found = good = materialise(similar(pairs, sets, similarity), "links")
+    parts = materialise(components(good), "parts")
+    for every in (False, True):
+        if found.count() == pairs.count():
+            break
+        nodes = sets.select(F.col("k").alias("node"), "n", "sketch").join(ends(pairs).withColumnRenamed("_k", "node"), "node")
+        nodes = nodes.join(classes, "node").join(parts, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("part"), "n", "sketch")
+        pairs = materialise(open_links(materialise(nodes, "open"), similarity, radius, tile, every), "pairs")
+        found = materialise(similar(pairs, sets, similarity), "links")
+        good = good.union(found)
+        parts = materialise(components(good), "parts")
+    return parts
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 12, tile: int = 1 << 16) -> DataFrame:
     """(doc_id, component_id): one row for each row of ``docs``.
 
@@ -204,8 +301,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     fps = materialise(rows.select("_k", "doc_id", "text").mapInArrow(run, "k long, doc_id long, fp long, d1 long, d2 long"), "fingerprints")
     with scope():
         classes = materialise(fps.groupBy("d1", "d2").agg(F.min("fp").alias("fp"), F.min("k").alias("node"), F.min("doc_id").alias("rep")), "classes")
-        pairs = materialise(links(classes.select("node", "fp"), radius, tile).distinct(), "pairs")
-        parts = materialise(components(materialise(similar(pairs, rows, shingle, similarity), "links")), "parts")
+        parts = similar_parts(classes.select("node", "fp"), rows, similarity, shingle, radius, tile)
         known = classes.join(parts, "node", "left").select("d1", "d2", "rep", F.coalesce("component", "node").alias("part"))
         least = known.groupBy("part").agg(F.min("rep").alias("component_id"))
         known = materialise(known.join(least, "part").select("d1", "d2", "component_id"), "known", keep=True)
